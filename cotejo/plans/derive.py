@@ -124,7 +124,7 @@ written0 AS (
          l_partkey AS part_id
   FROM lineitem),
 written1 AS (
-  SELECT *, CASE WHEN seed % 20 = 0 THEN 10000000 WHEN seed % 20 = 1 THEN 100000000 ELSE 1000000000 END AS low
+  SELECT *, CASE WHEN seed % 20 = 0 THEN 10000000 WHEN seed % 20 = 1 THEN 100000000 ELSE CAST(1000000000 AS BIGINT) END AS low
   FROM written0),
 written AS (
   SELECT form_id, pos, seed, part_id, CAST(low + (seed * 48271) % (low * 9) AS VARCHAR) AS true_id FROM written1)"""
@@ -139,16 +139,16 @@ a AS (
 
 B_SQL = """,
 b0 AS (
-  SELECT form_id, seed, true_id, CAST(seed % length(true_id) AS INTEGER) AS at,
+  SELECT form_id, seed, true_id, CAST(seed % length(true_id) AS INTEGER) AS cut,
          row_number() OVER (PARTITION BY form_id ORDER BY
            CASE WHEN form_id % 11 = 0 THEN pos + 1 - pos % 2 * 2 ELSE pos END) - 1 AS pos
   FROM written WHERE seed % 37 <> 0),
-b1 AS (SELECT *, substr(true_id, at + 1, 1) AS d FROM b0),
+b1 AS (SELECT *, substr(true_id, cut + 1, 1) AS d FROM b0),
 b2 AS (
-  SELECT *, substr(true_id, 1, at)
+  SELECT *, substr(true_id, 1, cut)
             || CASE WHEN seed % 3 = 0 THEN translate(d, '175638', '716583')
                     WHEN seed % 21 = 7 THEN CAST((CAST(d AS INTEGER) + 1) % 10 AS VARCHAR) ELSE d END
-            || substr(true_id, at + 2) AS changed
+            || substr(true_id, cut + 2) AS changed
   FROM b1),
 b3 AS (
   SELECT form_id, pos, seed,
