@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("voting",)
+FAMILIES = ("voting", "columns")
 
 
 def registry() -> dict:

@@ -183,7 +183,7 @@ def match_summary(matches: Column) -> Column:
         matches,
         lambda m: F.format_string(
             "%s %s: %s (%.0f%%)", F.when(m["match"], "✓").otherwise("✗"), m["field_name"], m["compared"],
-            F.round(m["similarity"] * 100.0, 0)
+            F.bround(m["similarity"] * 100.0, 0)
         ),
     )
     return F.when(F.coalesce(F.size(matches), F.lit(0)) > 0, F.array_join(lines, "\n")).otherwise(

@@ -35,8 +35,8 @@ def is_low(c: Column, threshold: float = 0.30) -> Column:
 
 
 def format_confidence(c: Column, decimals: int = 0) -> Column:
-    """Percent text such as ``86%``."""
-    return F.format_string("%." + str(decimals) + "f%%", F.round(c * 100.0, decimals))
+    """Percent text such as ``86%``; halves round to even."""
+    return F.format_string("%." + str(decimals) + "f%%", F.bround(c * 100.0, decimals))
 
 
 def is_valid_id(value: Column, shortest: int = 3, longest: int = 11) -> Column:

@@ -105,7 +105,9 @@ def _strip_punctuation(text: Column) -> Column:
 
 
 def _capitalize(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2))))
+    first = F.substring(word, 1, 1)
+    title = F.when(first == "ß", "Ss").otherwise(F.upper(first))
+    return F.concat(title, F.lower(F.substr(word, F.lit(2))))
 
 
 def _cased(word: Column, i: Column) -> Column:
