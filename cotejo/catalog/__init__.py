@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("voting", "columns")
+FAMILIES = ("voting", "columns", "reconcile")
 
 
 def registry() -> dict:

@@ -281,14 +281,14 @@ FROM (SELECT *, list_filter(regexp_split_to_array(t, '@B'), lambda x: length(x)
     "t8_format_name": (_on_lines(lambda t: {"name": tx.format_name(t)}), _sql(f"""
 SELECT doc_id, line_no, array_to_string(list_filter(list_transform(w, lambda x, i:
          CASE WHEN i > 1 AND lower(x) IN ({_PARTICLES}) THEN lower(x)
-              ELSE replace(upper(substr(x, 1, 1)), 'ß', 'Ss') || lower(substr(x, 2)) END), lambda x: x <> ''), ' ') AS name
+              ELSE replace(upper(substr(x, 1, 1)), 'ẞ', 'Ss') || lower(substr(x, 2)) END), lambda x: x <> ''), ' ') AS name
 FROM (SELECT *, list_transform(list_filter(regexp_split_to_array(t, '@B'), lambda x: length(x) >= 2),
                                lambda x: regexp_replace(x, '{_EDGE}', '', 'g')) AS w
       FROM (SELECT *, regexp_replace(trim(line, ' '), '\\.+$', '') AS t FROM lines))""", LINES_SQL)),
     "t9_format_name_rowwise": (_on_lines(lambda t: {"name": tx.format_name_rowwise(t)}), _sql(f"""
 SELECT doc_id, line_no, array_to_string(list_transform(w, lambda x, i:
          CASE WHEN i > 1 AND lower(x) IN ({_PARTICLES}) THEN lower(x)
-              ELSE replace(upper(substr(x, 1, 1)), 'ß', 'Ss') || lower(substr(x, 2)) END), ' ') AS name
+              ELSE replace(upper(substr(x, 1, 1)), 'ẞ', 'Ss') || lower(substr(x, 2)) END), ' ') AS name
 FROM (SELECT *, list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(line, '@B', ' ', 'g'), ' '),
                 '{_EDGE}', '', 'g'), '@B'), lambda x: x <> '') AS w FROM lines)""", LINES_SQL)),
     "t10_clean_printed_name": (_on_text(lambda t: {"name": tx.clean_printed_name(t)}), _sql("""
