@@ -31,78 +31,57 @@ def v2_digit_at_position(spark, sf):
     )
 
 
-def _digit_rows(spark, sf):
-    p = positional_pairs(spark, sf).filter(F.length("a_id") == F.length("b_id"))
-    p = p.select("*", F.explode(F.sequence(F.lit(0), F.length("a_id") - 1)).alias("i"))
-    a = voting.digit_at(F.col("a_id"), F.col("a_digits"), F.col("i"))
-    b = voting.digit_at(F.col("b_id"), F.col("b_digits"), F.col("i"))
-    return p.select(
-        "form_id", "pos", "i", a["digit"].alias("ad"), a["conf"].alias("ac"), b["digit"].alias("bd"),
-        b["conf"].alias("bc"),
-    ).withColumn("prob", voting.confusion_probability(F.col("ad"), F.col("bd")))
+KEYS = ("form_id", "pos")
 
 
 def v3_effective_threshold(spark, sf):
     c = F.col
-    return _digit_rows(spark, sf).select(
-        "form_id", "pos", "i",
+    rows = voting.digit_rows(positional_pairs(spark, sf), *KEYS).filter(c("i").isNotNull())
+    return rows.select(
+        *KEYS, "i",
         F.round(voting.effective_threshold(c("ad"), c("ac"), c("bd"), c("bc"), c("prob")), 6).alias("threshold"),
         F.round(voting.ambiguity_limit(c("prob")), 6).alias("min_gap"),
     )
 
 
 def _votes(spark, sf):
-    return voting.combine_pairs(positional_pairs(spark, sf))
+    votes = voting.digit_votes(positional_pairs(spark, sf), *KEYS).filter(F.col("i").isNotNull())
+    kept = {k: F.when(~F.col("rejected"), F.col(k)) for k in ("chosen", "conf", "source", "type")}
+    return votes.withColumns(kept)
+
+
+def _combined(spark, sf):
+    return voting.combine_pairs(positional_pairs(spark, sf), *KEYS)
 
 
 def v4_digit_comparison(spark, sf):
-    v = F.col("v")
-    return _votes(spark, sf).select("form_id", "pos", F.explode("votes").alias("v")).select(
-        "form_id", "pos", v["pos"].alias("i"), v["rejected"].alias("rejected"),
-        F.when(~v["rejected"], v["chosen"]).alias("chosen"),
-        F.when(~v["rejected"], F.round(v["conf"], 6)).alias("conf"),
-        F.when(~v["rejected"], v["type"]).alias("type"),
-    )
+    return _votes(spark, sf).select(*KEYS, "i", "rejected", "chosen", F.round("conf", 6).alias("conf"), "type")
 
 
 def v5_conflict_resolution(spark, sf):
-    v = F.col("v")
-    return (
-        _votes(spark, sf).select("form_id", "pos", F.explode("votes").alias("v"))
-        .filter(v["a_digit"] != v["b_digit"])
-        .select(
-            "form_id", "pos", v["pos"].alias("i"), v["a_digit"].alias("a_digit"), v["b_digit"].alias("b_digit"),
-            v["rejected"].alias("rejected"), F.when(~v["rejected"], v["source"]).alias("source"),
-            F.when(~v["rejected"], v["chosen"]).alias("chosen"),
-        )
+    return _votes(spark, sf).filter(F.col("ad") != F.col("bd")).select(
+        *KEYS, "i", F.col("ad").alias("a_digit"), F.col("bd").alias("b_digit"), "rejected", "source", "chosen"
     )
 
 
 def v6_combined_record(spark, sf):
-    return _votes(spark, sf).filter(F.col("outcome") != "fallback").select(
-        "form_id", "pos", "outcome", "id_number", F.round("confidence", 6).alias("confidence")
-    )
+    return v7_fallback(spark, sf).filter(F.col("outcome") != "fallback")
 
 
 def v7_fallback(spark, sf):
-    return _votes(spark, sf).select(
-        "form_id", "pos", "outcome", "id_number", F.round("confidence", 6).alias("confidence")
-    )
+    return _combined(spark, sf).select(*KEYS, "outcome", "id_number", F.round("confidence", 6).alias("confidence"))
 
 
 def g2_vote_statistics(spark, sf):
-    accepted = _votes(spark, sf).filter(F.col("outcome") == "vote")
-    s = voting.vote_statistics(F.col("votes"))
-    exact = ("total_digits", "unanimous_count", "conflict_count", "conflict_flag")
-    return accepted.select(
-        "form_id", "pos", *[s[k].alias(k) for k in exact],
-        *[F.round(s[k], 6).alias(k) for k in ("unanimous_ratio", "conflict_ratio", "mean_confidence")],
+    s = voting.vote_statistics(_combined(spark, sf).filter(F.col("outcome") == "vote"))
+    return s.select(
+        *KEYS, "total_digits", "unanimous_count", "conflict_count", "conflict_flag",
+        *[F.round(k, 6).alias(k) for k in ("unanimous_ratio", "conflict_ratio", "mean_confidence")],
     )
 
 
 def g3_comparison_table(spark, sf):
-    accepted = _votes(spark, sf).filter(F.col("outcome") == "vote")
-    rows = voting.comparison_table(accepted, "form_id", "pos")
+    rows = voting.comparison_table(positional_pairs(spark, sf), *KEYS)
     return rows.withColumns({k: F.round(k, 4) for k in ("a_pct", "b_pct", "chosen_pct")})
 
 

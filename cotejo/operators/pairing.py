@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cotejo.functions.text import sequence_ratio, surely_similar
 from cotejo.params import VoteParams
+from cotejo.plans.staging import staged
 
 DEFAULT = VoteParams()
 CHUNK = 512
@@ -97,21 +98,16 @@ def resolve_repairs(weak: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return entered.select("form_id", F.explode(folded["picks"]).alias("p")).select("form_id", "p.pos", "p.step")
 
 
-def pair_readings(a: DataFrame, b: DataFrame, p: VoteParams = DEFAULT, chunk: int = CHUNK) -> DataFrame:
-    """Pairs of A and B readings (form_id, pos, a_id/a_conf/a_digits, b_*): adds ``b_pos`` and ``how`` (positional,
-    repaired, forced). A B reading may serve two pairs: positional and forced pairs do not check for earlier use.
-
-    Python sees only the pairs whose common prefix or suffix does not already prove them similar."""
-    a_cols = ["a_id", "a_conf", "a_digits"]
-    b_cols = ["b_id", "b_conf", "b_digits"]
-    aligned = a.join(b, ["form_id", "pos"])
-    similar = surely_similar(F.col("a_id"), F.col("b_id"), p.min_positional_ratio)
-    sure = aligned.filter(similar)
-    unsure = aligned.filter(~similar).withColumn("ratio", sequence_ratio(F.col("a_id"), F.col("b_id")))
-    positional = sure.unionByName(unsure.filter(F.col("ratio") >= p.min_positional_ratio).drop("ratio"))
-    positional = positional.withColumns({"b_pos": F.col("pos"), "how": F.lit("positional")})
-
-    weak = unsure.filter(F.col("ratio") < p.min_positional_ratio).select("form_id", "pos", *a_cols)
+def find_repairs(a: DataFrame, b: DataFrame, p: VoteParams = DEFAULT, chunk: int = CHUNK) -> DataFrame:
+    """form_id, pos, b_pos, how for the positions whose positional partner is not similar enough.
+
+    Python sees only pairs whose common prefix or suffix does not already prove them similar. The weak positions are
+    few, so they are staged: every later step starts from that short table."""
+    ids = a.select("form_id", "pos", "a_id").join(b.select("form_id", "pos", "b_id"), ["form_id", "pos"])
+    unsure = ids.filter(~surely_similar(F.col("a_id"), F.col("b_id"), p.min_positional_ratio))
+    scored = unsure.withColumn("ratio", sequence_ratio(F.col("a_id"), F.col("b_id")))
+    weak = staged(scored.filter(F.col("ratio") < p.min_positional_ratio).select("form_id", "pos", "a_id"), "weak")
+
     window = F.explode(F.array(*[F.lit(k) for k in range(-p.repair_window, p.repair_window + 1)]))
     near = weak.select("form_id", "pos", "a_id", window.alias("step")).withColumn("b_pos", F.col("pos") + F.col("step"))
     tried = near.join(b.select("form_id", F.col("pos").alias("b_pos"), "b_id"), ["form_id", "b_pos"])
@@ -120,27 +116,34 @@ def pair_readings(a: DataFrame, b: DataFrame, p: VoteParams = DEFAULT, chunk: in
     steps = tried.groupBy("form_id", "pos").agg(
         F.transform(F.sort_array(F.collect_list(usable)), lambda s: s["step"]).alias("steps")
     )
-    picks = resolve_repairs(steps, chunk)
-    repaired = (
-        weak.join(picks, ["form_id", "pos"])
-        .withColumns({"b_pos": F.col("pos") + F.coalesce("step", F.lit(0)),
-                      "how": F.when(F.col("step").isNull(), "forced").otherwise("repaired")})
-        .drop("step")
-        .join(b.withColumnRenamed("pos", "b_pos"), ["form_id", "b_pos"])
+    picks = resolve_repairs(staged(steps, "steps"), chunk)
+    return picks.select(
+        "form_id", "pos", (F.col("pos") + F.coalesce("step", F.lit(0))).alias("b_pos"),
+        F.when(F.col("step").isNull(), "forced").otherwise("repaired").alias("how"),
+    )
+
+
+def pair_readings(a: DataFrame, b: DataFrame, p: VoteParams = DEFAULT, chunk: int = CHUNK) -> DataFrame:
+    """Pairs of A and B readings (form_id, pos, a_id/a_conf/a_digits, b_*): adds ``b_pos`` and ``how`` (positional,
+    repaired, forced). A B reading may serve two pairs: positional and forced pairs do not check for earlier use."""
+    repairs = staged(find_repairs(a, b, p, chunk), "repairs")
+    both = a.join(b.select("form_id", "pos"), ["form_id", "pos"], "left_semi")
+    placed = both.join(repairs, ["form_id", "pos"], "left").withColumns(
+        {"b_pos": F.coalesce("b_pos", "pos"), "how": F.coalesce("how", F.lit("positional"))}
     )
-    order = ["form_id", "pos", "b_pos", "how", *a_cols, *b_cols]
-    return positional.select(*order).unionByName(repaired.select(*order))
+    return placed.join(b.withColumnRenamed("pos", "b_pos"), ["form_id", "b_pos"])
 
 
 def unpaired_remainder(a: DataFrame, b: DataFrame, pairs: DataFrame, p: VoteParams = DEFAULT) -> DataFrame:
     """Readings whose value is in no pair, for forms whose two lists differ by more than ``min_count_gap`` rows."""
     signed = a.select("form_id", F.lit(1).alias("s")).unionByName(b.select("form_id", F.lit(-1).alias("s")))
     uneven = signed.groupBy("form_id").agg(F.sum("s").alias("gap")).filter(F.abs("gap") > p.min_count_gap)
+    odd = uneven.select("form_id")
 
     def rest(df: DataFrame, side: str, part: int) -> DataFrame:
         sure = df.filter(F.col(f"{side}_conf") * 100 >= p.min_digit_confidence * 100)
-        used = pairs.select("form_id", f"{side}_id")
-        left = sure.join(uneven.select("form_id"), "form_id", "left_semi").join(used, ["form_id", f"{side}_id"], "left_anti")
+        used = pairs.select("form_id", f"{side}_id").join(odd, "form_id", "left_semi")
+        left = sure.join(odd, "form_id", "left_semi").join(used, ["form_id", f"{side}_id"], "left_anti")
         return left.select(
             "form_id", F.lit(part).alias("part"), "pos", F.lit(f"unpaired_{side}").alias("outcome"),
             F.col(f"{side}_id").alias("id_number"), F.col(f"{side}_conf").alias("confidence"),

@@ -8,6 +8,7 @@ from cotejo.operators.pairing import pair_readings, unpaired_remainder
 from cotejo.operators.reconcile import dedupe_best, dense_position
 from cotejo.operators.voting import combine_pairs
 from cotejo.params import VoteParams
+from cotejo.plans.staging import staged
 
 
 def reading_list(detections: DataFrame, side: str) -> DataFrame:
@@ -23,9 +24,9 @@ def reading_list(detections: DataFrame, side: str) -> DataFrame:
 def reconcile(detections_a: DataFrame, detections_b: DataFrame, p: VoteParams = VoteParams()) -> DataFrame:
     """form_id, part, pos, outcome, id_number, confidence: combined pairs in form order (part 0), then the unpaired
     rest of A (1) and of B (2). A form read by one recogniser only, by at most ``min_count_gap`` rows, gives nothing."""
-    a, b = reading_list(detections_a, "a"), reading_list(detections_b, "b")
+    a, b = staged(reading_list(detections_a, "a"), "list-a"), staged(reading_list(detections_b, "b"), "list-b")
     pairs = pair_readings(a, b, p)
-    combined = combine_pairs(pairs, p).select(
+    combined = combine_pairs(pairs, "form_id", "pos", "b_pos", p=p).select(
         "form_id", F.lit(0).alias("part"), "pos", "outcome", "id_number", "confidence"
     )
     return combined.unionByName(unpaired_remainder(a, b, pairs, p))
@@ -34,6 +35,6 @@ def reconcile(detections_a: DataFrame, detections_b: DataFrame, p: VoteParams =
 def reconcile_by_position(detections_a: DataFrame, detections_b: DataFrame, p: VoteParams = VoteParams()) -> DataFrame:
     """The variant without repair: position i of A always pairs with position i of B."""
     a, b = reading_list(detections_a, "a"), reading_list(detections_b, "b")
-    return combine_pairs(a.join(b, ["form_id", "pos"]), p).select(
+    return combine_pairs(a.join(b, ["form_id", "pos"]), "form_id", "pos", p=p).select(
         "form_id", "pos", "outcome", "id_number", "confidence"
     )
