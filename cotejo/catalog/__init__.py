@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("voting", "columns", "reconcile")
+FAMILIES = ("voting", "columns", "reconcile", "layout")
 
 
 def registry() -> dict:

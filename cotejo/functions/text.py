@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Letters a recogniser writes where the form has a digit.
 CONFUSABLE_LETTERS = "lI|OoSsBZzG"
@@ -149,7 +149,7 @@ def full_name(*parts: Column) -> Column:
     return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     matcher = difflib.SequenceMatcher
     return pd.Series([matcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

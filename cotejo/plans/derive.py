@@ -114,6 +114,109 @@ def detections_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(readings_b(spark, sf_dir), 10, 7)
 
 
+def page_words(spark: SparkSession, sf_dir: str, step: int = 36, shift: int = 0) -> DataFrame:
+    """Word boxes of every written row: two name words, the identifier (sometimes dotted, sometimes with a second
+    number), and now and then a printed form word. ``step`` is the row height; every fourth row sits ``shift`` higher."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), "p_name")
+    seed, t = F.col("seed"), F.col("true_id")
+    id_text = (
+        F.when(seed % 8 == 0, F.concat(F.left(t, F.lit(4)), F.lit("."), F.substr(t, F.lit(5))))
+        .when(seed % 9 == 0, F.concat(t, F.lit(" 7654321"))).otherwise(t)
+    )
+    top = F.col("pos") * step - F.when(seed % 4 == 0, shift).otherwise(0)
+
+    def word(k, text, x, dy, w, h, conf):
+        return F.struct(
+            F.lit(k).alias("k"), text.alias("text"), x.cast("double").alias("x"), (top + dy).cast("double").alias("y"),
+            F.lit(float(w)).alias("w"), F.lit(float(h)).alias("h"), _pct(conf).alias("confidence"),
+        )
+
+    second_x = F.when(seed % 12 == 0, F.lit(550).cast("bigint")).otherwise(F.lit(220) + seed % 30)
+    words = [
+        word(0, F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(100) + seed % 30, seed % 5, 80, 18, F.lit(60) + seed % 40),
+        word(1, F.split_part("p_name", F.lit(" "), F.lit(2)), second_x, (seed + 2) % 5, 80, 18, F.lit(60) + (seed * 3) % 40),
+        word(2, id_text, F.lit(600) + seed % 40, seed % 9, 90, 20, F.lit(70) + seed % 30),
+        F.when(seed % 10 == 0, word(3, F.lit("Firma"), F.lit(800) + seed % 5, seed % 3, 60, 20, F.lit(90) + seed % 10)),
+    ]
+    rows = written_rows(spark, sf_dir).join(part, "part_id")
+    rows = rows.select("form_id", "pos", "seed", F.explode(F.array_compact(F.array(*words))).alias("v"))
+    return rows.select("form_id", "pos", "seed", (F.col("pos").cast("bigint") * 4 + F.col("v.k")).alias("box_id"), "v.*")
+
+
+def page_lines(words: DataFrame) -> DataFrame:
+    """The recogniser's text lines: the words of a row joined by blanks."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda w: w["text"]), " ")
+    return words.groupBy("form_id", F.col("pos").alias("line_no")).agg(text.alias("line"))
+
+
+def _corners(x, y, w, h) -> Column:
+    points = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    return F.array(*[F.struct(px.alias("x"), py.alias("y")) for px, py in points])
+
+
+def _by_form(rows: DataFrame, item: Column) -> DataFrame:
+    blocks = F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("block")))), lambda b: b["block"])
+    return rows.groupBy("form_id").agg(blocks.alias("blocks"))
+
+
+def responses_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recogniser A's nested response, one row per form: a block per written row, a paragraph per word."""
+    c = F.col
+    chars = F.filter(F.split("text", ""), lambda s: s != "")
+    symbols = F.transform(
+        chars,
+        lambda s, i: F.struct(
+            s.alias("text"), F.when((c("seed") + i) % 5 != 0, _pct(F.lit(60) + (c("seed") + i) % 40)).alias("confidence")
+        ),
+    )
+    corners = _corners(c("x"), c("y"), c("w"), c("h"))
+    word = F.struct(
+        F.when((c("seed") % 17 != 0) | (c("k") != 0), c("confidence")).alias("confidence"),
+        F.when(c("seed") % 19 == 0, F.slice(corners, 1, 3)).otherwise(corners).alias("vertices"), symbols.alias("symbols"),
+    )
+    paragraph = F.struct("k", corners.alias("vertices"), F.array(word).alias("words"))
+    rows = page_words(spark, sf_dir).groupBy("form_id", "pos", "seed").agg(
+        F.transform(F.array_sort(F.collect_list(paragraph)), lambda q: F.struct(q["vertices"].alias("vertices"), q["words"].alias("words"))).alias("paragraphs")
+    )
+    y = (c("pos") * 36).cast("double")
+    outline = F.when(c("seed") % 23 == 0, F.slice(_corners(F.lit(100.0), y, F.lit(600.0), F.lit(20.0)), 1, 0)).otherwise(
+        _corners(F.lit(100.0), y, F.lit(600.0), F.lit(20.0))
+    )
+    forms = _by_form(rows, F.struct(outline.alias("vertices"), "paragraphs"))
+    return forms.select("form_id", F.array(F.struct("blocks")).alias("pages"))
+
+
+def responses_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recogniser B's nested response: a block per written row, a name line and an identifier line."""
+    c = F.col
+    polygon = F.array(c("x"), c("y"), c("x") + c("w"), c("y"), c("x") + c("w"), c("y") + c("h"), c("x"), c("y") + c("h"))
+    word = F.struct(
+        "k", "text", F.when(c("seed") % 17 != 0, c("confidence")).alias("confidence"),
+        F.when(c("seed") % 19 == 0, F.slice(polygon, 1, 6)).otherwise(polygon).alias("polygon"),
+    )
+    bare = F.transform(
+        F.sort_array(F.collect_list(word)),
+        lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"), w["polygon"].alias("polygon")),
+    )
+    lines = page_words(spark, sf_dir).groupBy("form_id", "pos", "seed", F.floor(c("k") / 2).alias("line")).agg(
+        bare.alias("words")
+    )
+    y = (c("pos") * 36).cast("double")
+    x = F.when(c("line") == 0, 100.0).otherwise(600.0)
+    outline = F.array(x, y, x + 90.0, y, x + 90.0, y + 20.0, x, y + 20.0)
+    line = F.struct(
+        "line", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"),
+        F.when(c("seed") % 17 != 0, _pct(F.lit(50) + c("seed") % 50)).alias("confidence"),
+        F.when(c("seed") % 23 != 0, outline).alias("polygon"), "words",
+    )
+    bare_line = F.transform(
+        F.sort_array(F.collect_list(line)),
+        lambda n: F.struct(n["text"].alias("text"), n["confidence"].alias("confidence"), n["polygon"].alias("polygon"), n["words"].alias("words")),
+    )
+    rows = lines.groupBy("form_id", "pos").agg(bare_line.alias("lines"))
+    return _by_form(rows, F.struct("lines"))
+
+
 # --- the same derivations as SQL common table expressions --------------------------------------------------------
 WRITTEN_SQL = """
 written0 AS (
@@ -182,3 +285,31 @@ def with_readings(body: str, extra: str = "") -> str:
 
 def with_detections(body: str, extra: str = "") -> str:
     return "WITH" + AB_SQL + DETECTIONS_SQL + extra + "\n" + body
+
+
+WORDS_SQL = WRITTEN_SQL + """,
+words0 AS (
+  SELECT form_id, pos, seed, true_id, split_part(p_name, ' ', 1) AS name1, split_part(p_name, ' ', 2) AS name2,
+         pos * @STEP - CASE WHEN seed % 4 = 0 THEN @SHIFT ELSE 0 END AS top,
+         CASE WHEN seed % 8 = 0 THEN substr(true_id, 1, 4) || '.' || substr(true_id, 5)
+              WHEN seed % 9 = 0 THEN true_id || ' 7654321' ELSE true_id END AS id_text
+  FROM written JOIN part ON part_id = p_partkey),
+words AS (
+  SELECT form_id, pos, seed, k, pos * 4 + k AS box_id, text, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y,
+         CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, CAST(conf AS DOUBLE) / 100 AS confidence
+  FROM (
+    SELECT form_id, pos, seed, 0 AS k, name1 AS text, 100 + seed % 30 AS x, top + seed % 5 AS y, 80 AS w, 18 AS h,
+           60 + seed % 40 AS conf FROM words0
+    UNION ALL
+    SELECT form_id, pos, seed, 1, name2, CASE WHEN seed % 12 = 0 THEN 550 ELSE 220 + seed % 30 END,
+           top + (seed + 2) % 5, 80, 18, 60 + (seed * 3) % 40 FROM words0
+    UNION ALL
+    SELECT form_id, pos, seed, 2, id_text, 600 + seed % 40, top + seed % 9, 90, 20, 70 + seed % 30 FROM words0
+    UNION ALL
+    SELECT form_id, pos, seed, 3, 'Firma', 800 + seed % 5, top + seed % 3, 60, 20, 90 + seed % 10
+    FROM words0 WHERE seed % 10 = 0))"""
+
+
+def with_words(body: str, extra: str = "", step: int = 36, shift: int = 0, recursive: bool = False) -> str:
+    words = WORDS_SQL.replace("@STEP", str(step)).replace("@SHIFT", str(shift))
+    return ("WITH RECURSIVE" if recursive else "WITH") + words + extra + "\n" + body

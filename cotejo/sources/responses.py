@@ -5,26 +5,26 @@ blocks > lines > words. The schemas are explicit, so reading JSON needs no infer
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cotejo.functions.text import BLANKS
 
 DEFAULT_CONFIDENCE = 0.95
 
 _VERTICES = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"
-RESPONSE_A = T.StructType.fromDDL(
+RESPONSE_A = (
     "form_id BIGINT, full_text STRING, pages ARRAY<STRUCT<blocks: ARRAY<STRUCT<vertices: " + _VERTICES
     + ", paragraphs: ARRAY<STRUCT<vertices: " + _VERTICES
     + ", words: ARRAY<STRUCT<confidence: DOUBLE, vertices: " + _VERTICES
     + ", symbols: ARRAY<STRUCT<text: STRING, confidence: DOUBLE>>>>>>>>>>"
 )
-RESPONSE_B = T.StructType.fromDDL(
+RESPONSE_B = (
     "form_id BIGINT, blocks ARRAY<STRUCT<lines: ARRAY<STRUCT<text: STRING, confidence: DOUBLE, "
     "polygon: ARRAY<DOUBLE>, words: ARRAY<STRUCT<text: STRING, confidence: DOUBLE, polygon: ARRAY<DOUBLE>>>>>>>"
 )
 
 
-def read_responses(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_responses(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
@@ -109,7 +109,8 @@ def word_boxes_a(responses: DataFrame) -> DataFrame:
         words,
         lambda w: _box(
             F.array_join(F.transform(w["symbols"], lambda s: s["text"]), ""),
-            F.transform(w["vertices"], lambda v: v["x"]), F.transform(w["vertices"], lambda v: v["y"]), w["confidence"],
+            F.transform(w["vertices"], lambda v: v["x"]), F.transform(w["vertices"], lambda v: v["y"]),
+            _missing_as_default(w["confidence"]),
         ),
     )
     return _explode_boxes(responses, boxes)
@@ -151,7 +152,7 @@ def block_boxes_a(responses: DataFrame) -> DataFrame:
         return F.struct(
             F.trim(text).alias("text"), _mean(F.transform(b["vertices"], lambda v: v["x"])).alias("x"),
             _mean(F.transform(b["vertices"], lambda v: v["y"])).alias("y"),
-            _mean(F.transform(words, lambda w: w["confidence"])).alias("confidence"),
+            _mean(F.transform(words, lambda w: _missing_as_default(w["confidence"]))).alias("confidence"),
         )
 
     placed = F.filter(_flat(F.col("pages"), "blocks"), lambda b: F.coalesce(F.size(b["vertices"]) > 0, F.lit(False)))
@@ -168,7 +169,7 @@ def paragraph_boxes_a(responses: DataFrame) -> DataFrame:
         return F.struct(
             F.trim(text).alias("text"), _mean(F.transform(q["vertices"], lambda v: v["x"])).alias("x"),
             _mean(F.transform(q["vertices"], lambda v: v["y"])).alias("y"),
-            _mean(F.transform(q["words"], lambda w: w["confidence"])).alias("confidence"),
+            _mean(F.transform(q["words"], lambda w: _missing_as_default(w["confidence"]))).alias("confidence"),
         )
 
     placed = F.filter(
