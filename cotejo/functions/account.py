@@ -90,7 +90,7 @@ def record_usage(as_of: Column) -> dict[str, Column]:
 
 
 def record_login(as_of: Column) -> dict[str, Column]:
-    return {"last_login": as_of, "updated_at": as_of}
+    return {"last_login_at": as_of, "updated_at": as_of}
 
 
 def set_active(active: bool, as_of: Column) -> dict[str, Column]:
@@ -98,7 +98,7 @@ def set_active(active: bool, as_of: Column) -> dict[str, Column]:
 
 
 def verify_email(as_of: Column) -> dict[str, Column]:
-    return {"is_verified": F.lit(True), "updated_at": as_of}
+    return {"email_verified": F.lit(True), "updated_at": as_of}
 
 
 def can_authenticate(is_active: Column, is_verified: Column) -> Column:

@@ -6,7 +6,7 @@ themselves as equi-keys next to the form, and aggregates combine before they shu
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cotejo.functions import geometry as geo, text as tx
 from cotejo.params import LayoutParams
@@ -45,27 +45,25 @@ def _append_run(acc: Column, run: Column, text: Column) -> Column:
 
 
 # --- name clusters ----------------------------------------------------------------------------------------------------
-def _components(edges: pd.DataFrame) -> pd.DataFrame:
-    """Label every cell of one page with the lowest label it is linked to (union-find over occupied cells)."""
-    parent: dict = {}
-
-    def root(c):
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    cells = list(zip(edges["cx"], edges["cy"]))
-    label = dict(zip(cells, edges["label"]))
-    parent.update({c: c for c in cells})
-    for here, links in zip(cells, edges["links"]):
-        for dx, dy in links:
-            a, b = root(here), root((here[0] + dx, here[1] + dy))
-            if a != b:
-                parent[b if label[a] <= label[b] else a] = a if label[a] <= label[b] else b
-    out = edges[["form_id", "cx", "cy"]].copy()
-    out["cluster"] = [label[root(c)] for c in cells]
-    return out
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _linked_labels(labels: pd.Series, ends: pd.Series) -> pd.Series:
+    """Per page: the lowest label each occupied cell is linked to. ``ends`` holds pairs of labels in a row."""
+
+    def one(nodes, pairs):
+        parent = {n: n for n in nodes}
+
+        def root(n):
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        for a, b in zip(pairs[::2], pairs[1::2]):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        return [root(n) for n in nodes]
+
+    return pd.Series([one(n, e) for n, e in zip(labels, ends)])
 
 
 def cluster_words(words: DataFrame, p: LayoutParams = DEFAULT) -> DataFrame:
@@ -84,23 +82,30 @@ def cluster_words(words: DataFrame, p: LayoutParams = DEFAULT) -> DataFrame:
         F.min("label").alias("label"), F.collect_list(F.struct("x", "low", "high")).alias("profile")
     )
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))])
-    here = cells.select("form_id", "cx", "cy", "profile", F.explode(steps).alias("s")).select(
-        "form_id", "cx", "cy", "profile", "s", (F.col("cx") + F.col("s.dx")).alias("nx"),
-        (F.col("cy") + F.col("s.dy")).alias("ny"),
+    here = cells.select("form_id", "cx", "cy", "label", "profile", F.explode(steps).alias("s")).select(
+        "form_id", "label", "profile", (F.col("cx") + F.col("s.dx")).alias("nx"), (F.col("cy") + F.col("s.dy")).alias("ny"),
     )
-    there = cells.select("form_id", F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("profile").alias("other"))
+    there = cells.select("form_id", F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("label").alias("other_label"),
+                         F.col("profile").alias("other"))
 
     def touches(a: Column, b: Column) -> Column:
         return (F.abs(a["x"] - b["x"]) < p.cluster_dx) & (b["high"] - a["low"] < p.cluster_dy)
 
     contact = F.exists("profile", lambda a: F.exists("other", lambda b: touches(a, b)))
-    links = here.join(there, ["form_id", "nx", "ny"]).filter(contact).groupBy("form_id", "cx", "cy").agg(
-        F.collect_list("s").alias("links")
+    links = here.join(there, ["form_id", "nx", "ny"]).filter(contact).select(
+        "form_id", F.lit(None).cast("bigint").alias("node"), F.array("label", "other_label").alias("ends")
+    )
+    # A cell is known by its lowest box_id, which no other cell of the form has.
+    nodes = cells.select("form_id", F.col("label").alias("node"), F.lit(None).cast("array<bigint>").alias("ends"))
+    pages = nodes.unionByName(links).groupBy("form_id").agg(
+        F.collect_list("node").alias("nodes"), F.flatten(F.collect_list("ends")).alias("ends")
+    )
+    labelled = pages.withColumn("clusters", _linked_labels("nodes", "ends")).select(
+        "form_id", F.explode(F.arrays_zip("nodes", "clusters")).alias("n")
     )
-    graph = cells.select("form_id", "cx", "cy", "label").join(links, ["form_id", "cx", "cy"], "left")
-    graph = graph.withColumn("links", F.transform(F.coalesce("links", F.array()), lambda s: F.array(s["dx"], s["dy"])))
-    labels = graph.groupBy("form_id").applyInPandas(_components, "form_id bigint, cx bigint, cy bigint, cluster bigint")
-    return placed.join(labels, ["form_id", "cx", "cy"]).drop("cx", "cy")
+    labelled = labelled.select("form_id", F.col("n.nodes").alias("label"), F.col("n.clusters").alias("cluster"))
+    by_cell = cells.select("form_id", "cx", "cy", "label").join(labelled, ["form_id", "label"]).drop("label")
+    return placed.join(by_cell, ["form_id", "cx", "cy"]).drop("cx", "cy")
 
 
 def merge_names(clustered: DataFrame) -> DataFrame:

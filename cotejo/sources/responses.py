@@ -30,9 +30,12 @@ def read_responses(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def _flat(nested: Column, *levels: str) -> Column:
     """Descend through arrays of structs, keeping reading order."""
+    def field(level: str):
+        return lambda s: F.coalesce(s[level], F.array())
+
     out = nested
     for level in levels:
-        out = F.flatten(F.transform(out, lambda s, level=level: F.coalesce(s[level], F.array())))
+        out = F.flatten(F.transform(out, field(level)))
     return out
 
 
