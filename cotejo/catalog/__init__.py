@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("voting", "columns", "reconcile", "layout")
+FAMILIES = ("voting", "columns", "reconcile", "layout", "accounts", "streams")
 
 
 def registry() -> dict:
