@@ -153,7 +153,7 @@ def _targets(spark, sf):
 def _digit_conf_text(mapped):
     return mapped.select(
         "form_id", "pos", "found",
-        F.array_join(F.transform("digit_conf", lambda v: F.format_string("%.8f", F.round(v, 8))), " ").alias("confs"),
+        F.array_join(F.transform("digit_conf", lambda v: F.format_string("%.10f", F.round(v, 10))), " ").alias("confs"),
     )
 
 
@@ -274,7 +274,7 @@ SELECT form_id, pos, at0 > 0 AS found,
        array_to_string(list_transform(
          CASE WHEN at0 > 0 THEN list_slice(confs, at0, at0 + length(id_number) - 1)
               ELSE list_transform(range(length(id_number)), lambda i: coalesce(mean, 0.85e0)) END,
-         lambda v: printf('%.8f', round(v, 8))), ' ') AS confs
+         lambda v: printf('%.10f', round(v, 10))), ' ') AS confs
 FROM mapped"""
 
 QUERIES = {

@@ -62,12 +62,12 @@ SELECT user_id, event_type AS resource, date_trunc('day', ts) AS period_start, s
 FROM events WHERE ts < TIMESTAMP '2024-01-28' GROUP BY ALL"""),
     "x2_arrival_join": (x2_arrival_join, """
 SELECT form_id, pos, in_a, in_b FROM (
-  SELECT event_id AS form_id, user_id AS pos, true AS in_a, event_id % 4 <> 2 AND event_id % 10 <> 0 AS in_b, ts AS at
+  SELECT event_id AS form_id, user_id AS pos, true AS in_a, event_id % 4 <> 2 AND event_id % 10 <> 0 AS in_b, ts AS seen
   FROM events WHERE event_id % 4 <> 1
   UNION ALL
   SELECT event_id, user_id, false, true, ts + CASE WHEN event_id % 10 = 0 THEN INTERVAL 90 SECONDS ELSE INTERVAL 20 SECONDS END
   FROM events WHERE event_id % 4 = 1 OR (event_id % 4 <> 2 AND event_id % 10 = 0))
-WHERE at < TIMESTAMP '2024-01-26'"""),
+WHERE seen < TIMESTAMP '2024-01-26'"""),
     "x3_first_readings": (x3_first_readings, """
 SELECT DISTINCT user_id % 20 AS form_id, CAST(event_id % 100 AS VARCHAR) AS id_number FROM events"""),
     "x4_last_used": (x4_last_used, """
