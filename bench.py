@@ -1,4 +1,4 @@
-"""Headline timings: prints one JSON line. Each query runs once to warm up, then the median of three counts."""
+"""Headline timings: prints one JSON line. Each query runs once to warm up, then the median of BENCH_REPEATS (2) runs counts."""
 
 from __future__ import annotations
 
@@ -27,11 +27,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), "cotejo-bench")
     queries = registry()
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     times = {}
     for name in HEADLINE:
         run = queries[name][0]
         seconds(run, spark, sf_dir)
-        times[name] = round(statistics.median(seconds(run, spark, sf_dir) for _ in range(3)), 3)
+        times[name] = round(statistics.median(seconds(run, spark, sf_dir) for _ in range(repeats)), 3)
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,

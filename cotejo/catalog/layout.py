@@ -9,6 +9,7 @@ from cotejo.operators import layout as lay, matching
 from cotejo.plans import derive
 from cotejo.plans.derive import A_SQL, with_words
 from cotejo.plans.form_pairs import form_pairs, vote_pairs
+from cotejo.plans.staging import staged
 from cotejo.sources import responses as src
 
 c = F.col
@@ -59,17 +60,17 @@ def a4_split_id_boxes(spark, sf):
 
 
 def a5_cluster_words(spark, sf):
-    words = derive.page_words(spark, sf, **TALL).filter(tx.looks_like_name(c("text")))
+    words = staged(derive.page_words(spark, sf, **TALL), "words").filter(tx.looks_like_name(c("text")))
     return lay.cluster_words(words).select("form_id", "box_id", "cluster")
 
 
 def g5_merge_names(spark, sf):
-    names = lay.name_boxes(derive.page_words(spark, sf, **TALL))
+    names = lay.name_boxes(staged(derive.page_words(spark, sf, **TALL), "words"))
     return names.withColumn("confidence", F.round("confidence", 6))
 
 
 def _id_lines(spark, sf):
-    words = derive.page_words(spark, sf)
+    words = staged(derive.page_words(spark, sf), "words")
     return lay.locate_id_lines(derive.page_lines(words), words), words
 
 
@@ -170,7 +171,7 @@ def j9_digit_confidences_words(spark, sf):
 
 
 def j6_pair_by_proximity(spark, sf):
-    pairs = form_pairs(derive.page_words(spark, sf, **TALL))
+    pairs = form_pairs(staged(derive.page_words(spark, sf, **TALL), "words"))
     return pairs.withColumns({"name_conf": F.round("name_conf", 6), "id_conf": F.round("id_conf", 6)})
 
 

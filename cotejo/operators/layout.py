@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cotejo.functions import geometry as geo, text as tx
 from cotejo.params import LayoutParams
+from cotejo.plans.staging import staged
 
 DEFAULT = LayoutParams()
 
@@ -81,6 +82,7 @@ def cluster_words(words: DataFrame, p: LayoutParams = DEFAULT) -> DataFrame:
     cells = columns.groupBy("form_id", "cx", "cy").agg(
         F.min("label").alias("label"), F.collect_list(F.struct("x", "low", "high")).alias("profile")
     )
+    cells = staged(cells, "cells")
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))])
     here = cells.select("form_id", "cx", "cy", "label", "profile", F.explode(steps).alias("s")).select(
         "form_id", "label", "profile", (F.col("cx") + F.col("s.dx")).alias("nx"), (F.col("cy") + F.col("s.dy")).alias("ny"),
@@ -133,22 +135,25 @@ def locate_id_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
     """Lines with 7-11 digits, each with the position of the first word whose digits occur in them: form_id, line_no,
     id_number, x, y (the word's vertical centre). Lines without such a word are dropped.
 
-    "Occurs in" becomes an equi-join: a line has at most 66 digit substrings, and the words of a form are reduced to
-    the first one per distinct digit string."""
+    "Occurs in" becomes an equi-join on digit strings: the words of a form are reduced to the first one per distinct
+    string, and a line lists its substrings (66 at most) only for the lengths that the form's words have."""
     digits = tx.digits_only(F.col("line"))
     ids = lines.select("form_id", "line_no", digits.alias("id_number")).filter(F.length("id_number").between(7, 11))
-    n = F.length("id_number")
+    first = words.withColumn("digits", tx.digits_only(F.col("text"))).filter(F.length("digits").between(1, 11))
+    first = first.groupBy("form_id", "digits").agg(
+        F.min_by(F.struct("box_id", "x", (F.col("y") + F.col("h") / 2).alias("y")), F.col("box_id")).alias("w")
+    )
+    lengths = first.groupBy("form_id").agg(F.collect_set(F.length("digits")).alias("lengths"))
+    fitting = F.filter("lengths", lambda k: k <= F.length("id_number"))
     parts = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(F.col("id_number"), i, k)),
+            fitting,
+            lambda k: F.transform(
+                F.sequence(F.lit(1), F.length("id_number") - k + 1), lambda i: F.substr(F.col("id_number"), i, k)
+            ),
         )
     )
-    wanted = ids.select("*", F.explode(F.array_distinct(parts)).alias("digits"))
-    first = words.withColumn("digits", tx.digits_only(F.col("text"))).filter(F.col("digits") != "")
-    first = first.groupBy("form_id", "digits").agg(
-        F.min_by(F.struct("box_id", "x", (F.col("y") + F.col("h") / 2).alias("y")), F.col("box_id")).alias("w")
-    )
+    wanted = ids.join(lengths, "form_id").select("form_id", "line_no", "id_number", F.explode(F.array_distinct(parts)).alias("digits"))
     hits = wanted.join(first, ["form_id", "digits"])
     return hits.groupBy("form_id", "line_no", "id_number").agg(F.min_by("w", F.col("w.box_id")).alias("w")).select(
         "form_id", "line_no", "id_number", "w.x", "w.y"
