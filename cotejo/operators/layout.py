@@ -266,6 +266,33 @@ def first_row_texts(rows: DataFrame, blocks: str = "blocks") -> DataFrame:
 
 
 # --- per-digit confidences ------------------------------------------------------------------------------------------
+LONG_STREAM = 4096
+BLOCK = 512
+LONGEST_ID = 11
+
+
+def _long_stream_grams(stream: DataFrame) -> DataFrame:
+    """First occurrence of every 3-11 digit string in streams beyond ``LONG_STREAM`` digits, with its confidences. Such a
+    stream is cut into blocks that overlap by one identifier, and looked up by an equi-join instead of row by row."""
+    width = BLOCK + LONGEST_ID - 1
+    starts = F.sequence(F.lit(1), F.length("digits"), F.lit(BLOCK))
+    blocks = stream.filter(F.length("digits") > LONG_STREAM).select(
+        "form_id", "digits", "confs", F.explode(starts).alias("from")
+    ).select(
+        "form_id", "from", F.substr("digits", F.col("from"), F.lit(width)).alias("digits"),
+        F.slice("confs", F.col("from"), F.lit(width)).alias("confs"),
+    )
+    size = F.least(F.length("digits"), F.lit(BLOCK))
+    at = blocks.select("*", F.explode(F.sequence(F.lit(1), size)).alias("at"))
+    each = at.select("*", F.explode(F.sequence(F.lit(3), F.lit(LONGEST_ID))).alias("k"))
+    each = each.filter(F.col("at") + F.col("k") - 1 <= F.length("digits"))
+    grams = each.select(
+        "form_id", F.substr("digits", F.col("at"), F.col("k")).alias("target"), (F.col("from") + F.col("at")).alias("place"),
+        F.slice("confs", F.col("at"), F.col("k")).alias("hit"),
+    )
+    return grams.groupBy("form_id", "target").agg(F.min_by("hit", F.col("place")).alias("hit"))
+
+
 def map_digit_confidences(ids: DataFrame, streams: DataFrame, missing: float = 0.85) -> DataFrame:
     """Confidence of every digit of every identifier. ``streams`` holds per form the ordered ``symbols`` (text,
     confidence) that the recogniser saw; a word-level recogniser repeats the word's confidence for each digit.
@@ -284,12 +311,19 @@ def map_digit_confidences(ids: DataFrame, streams: DataFrame, missing: float = 0
             F.aggregate(digit_symbols, F.lit(0.0), lambda acc, s: acc + s["confidence"]) / F.size(digit_symbols),
         ).otherwise(F.lit(0.0)).alias("mean"),
     )
-    target = tx.digits_only(F.col("id_number"))
-    at = F.call_function("instr", F.col("digits"), target)
-    n = F.length(target)
-    mapped = ids.join(stream, "form_id", "left").withColumns({"at": F.coalesce(at, F.lit(0)), "n": n})
-    found = F.slice("confs", F.greatest(F.col("at"), F.lit(1)), F.col("n"))
+    wanted = ids.withColumn("target", tx.digits_only(F.col("id_number")))
+    short = F.length("digits") <= LONG_STREAM
+    light = stream.select("form_id", "mean", *[F.when(short, F.col(k)).alias(k) for k in ("digits", "confs")])
+    mapped = wanted.join(light, "form_id", "left")
+    if not stream.filter(~short).isEmpty():
+        mapped = mapped.join(_long_stream_grams(stream), ["form_id", "target"], "left")
+    else:
+        mapped = mapped.withColumn("hit", F.lit(None).cast("array<double>"))
+    at = F.coalesce(F.call_function("instr", F.col("digits"), F.col("target")), F.lit(0))
+    mapped = mapped.withColumns({"at": at, "n": F.length("target")})
+    inside = F.when(F.col("at") > 0, F.slice("confs", F.greatest(F.col("at"), F.lit(1)), F.col("n")))
+    found = F.coalesce("hit", inside)
     flat = F.array_repeat(F.coalesce("mean", F.lit(missing)), F.col("n"))
-    return mapped.withColumns(
-        {"digit_conf": F.when(F.col("at") > 0, found).otherwise(flat), "found": F.col("at") > 0}
-    ).drop("digits", "confs", "mean", "at", "n")
+    return mapped.withColumns({"digit_conf": F.coalesce(found, flat), "found": found.isNotNull()}).drop(
+        "digits", "confs", "mean", "at", "n", "hit", "target"
+    )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from cotejo.session import checkpoint_root
 
+_WRITTEN: list[str] = []
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return it as a scan. Unlike a cache it survives lost
@@ -15,4 +17,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/cotejo-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_staged(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote, once their results have been stored."""
+    gone = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        gone += bool(fs.delete(path, True))
+    return gone
