@@ -15,9 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _seed() -> Column:
-    raw = (
-        F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_suppkey") * 1299709 + F.col("l_linenumber")
-    )
+    raw = F.col("form_id") * 7919 + F.col("part_id") * 104729 + F.col("l_suppkey") * 1299709 + F.col("l_linenumber")
     return raw % SEED_MODULUS
 
 
@@ -36,13 +34,11 @@ def _true_id(seed: Column, n: Column) -> Column:
 
 def written_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """form_id, pos (0-based row on the form), seed, part, true_id."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("form_id"),
-        (F.row_number().over(order) - 1).alias("pos"),
-        _seed().alias("seed"),
-        F.col("l_partkey").alias("part_id"),
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("form_id"), F.col("l_partkey").alias("part_id"), "l_suppkey", "l_linenumber", "l_extendedprice"
     )
+    order = Window.partitionBy("form_id").orderBy("part_id", "l_suppkey", "l_linenumber", "l_extendedprice")
+    rows = lines.select("form_id", (F.row_number().over(order) - 1).alias("pos"), _seed().alias("seed"), "part_id")
     return rows.withColumn("true_id", _true_id(F.col("seed"), _id_length(F.col("seed"))))
 
 
