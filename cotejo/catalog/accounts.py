@@ -172,11 +172,10 @@ def j12_authorize_requests(spark, sf):
 
 def _form_rows(spark, sf):
     part = derive.table(spark, sf, "part").select(c("p_partkey").alias("part_id"), "p_name")
-    w = derive.written_rows(spark, sf).select("form_id", "seed", "part_id").join(part, "part_id")
     typo = F.when(c("seed") % 4 == 0, F.left("p_name", F.length("p_name") - 1)).when(
         c("seed") % 9 == 0, F.translate("p_name", "eo", "cz")).otherwise(F.upper("p_name"))
-    b = derive.readings_b(spark, sf).select("form_id", "pos", "seed", "id_number")
-    return b.join(w.select("form_id", "seed", typo.alias("names")), ["form_id", "seed"])
+    b = derive.readings_b(spark, sf).join(part, "part_id")
+    return b.select("form_id", "pos", "seed", "id_number", typo.alias("names"))
 
 
 def _validated(spark, sf):
@@ -356,7 +355,7 @@ form_rows AS (
   SELECT b.form_id, b.pos, b.seed, b.id_number,
          CASE WHEN b.seed % 4 = 0 THEN substr(p_name, 1, length(p_name) - 1)
               WHEN b.seed % 9 = 0 THEN translate(p_name, 'eo', 'cz') ELSE upper(p_name) END AS names
-  FROM b JOIN written w ON w.form_id = b.form_id AND w.seed = b.seed JOIN part ON part_id = p_partkey),
+  FROM b JOIN part ON b.part_id = p_partkey),
 scored AS (
   SELECT f.*, first_name, first_surname, first_name IS NOT NULL AS found,
          list_max(list_transform(string_split(upper(names), ' '), lambda w:

@@ -177,15 +177,15 @@ def j6_pair_by_proximity(spark, sf):
 
 def _pair_lists(spark, sf):
     """Name-identifier pairs of both recognisers: B drops the last letter of some names."""
-    part = derive.table(spark, sf, "part").select(c("p_partkey").alias("part_id"), "p_name")
-    rows = derive.written_rows(spark, sf).select("form_id", "seed", "part_id").join(part, "part_id")
-    names = rows.select("form_id", "seed", c("p_name").alias("name"))
-    pct = (F.lit(60) + c("seed") % 39) / 100.0
-    cols = ["form_id", "pos", "name", "id_number", pct.alias("name_conf"), c("confidence").alias("id_conf"), "digit_conf"]
-    a = derive.readings_a(spark, sf).join(names, ["form_id", "seed"]).select(*cols)
-    b = derive.readings_b(spark, sf).join(names, ["form_id", "seed"])
+    part = derive.table(spark, sf, "part").select(c("p_partkey").alias("part_id"), c("p_name").alias("name"))
+    a, b = [r.join(part, "part_id") for r in (derive.readings_a(spark, sf), derive.readings_b(spark, sf))]
     cut = F.when(c("seed") % 4 == 0, F.left("name", F.length("name") - 1)).otherwise(c("name"))
-    return a, b.withColumn("name", cut).withColumn("seed", c("seed") * 7).select(*cols)
+
+    def listed(df, seed):
+        sure = (F.lit(60) + seed % 39) / 100.0
+        return df.select("form_id", "pos", "name", "id_number", sure.alias("name_conf"), c("confidence").alias("id_conf"), "digit_conf")
+
+    return listed(a, c("seed")), listed(b.withColumn("name", cut), c("seed") * 7)
 
 
 def j5_match_pairs(spark, sf):

@@ -59,9 +59,9 @@ def _conf_b(seed: Column) -> Column:
 
 
 def readings_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """form_id, pos, seed, id_number, confidence, digit_conf as read by A."""
+    """form_id, pos, seed, part_id, id_number, confidence, digit_conf as read by A."""
     return written_rows(spark, sf_dir).select(
-        "form_id", "pos", "seed", F.col("true_id").alias("id_number"), _conf_a(F.col("seed")).alias("confidence"),
+        "form_id", "pos", "seed", "part_id", F.col("true_id").alias("id_number"), _conf_a(F.col("seed")).alias("confidence"),
         _digit_conf(F.col("seed"), F.length("true_id"), 31, 0, 1, 97).alias("digit_conf"),
     )
 
@@ -84,7 +84,7 @@ def readings_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = F.when(F.col("form_id") % 11 == 0, F.col("pos") + 1 - F.col("pos") % 2 * 2).otherwise(F.col("pos"))
     order = Window.partitionBy("form_id").orderBy(shuffled)
     rows = seen.select(
-        "form_id", (F.row_number().over(order) - 1).alias("pos"), "seed",
+        "form_id", (F.row_number().over(order) - 1).alias("pos"), "seed", "part_id",
         _misread(F.col("true_id"), F.col("seed")).alias("id_number"),
     )
     return rows.select(
@@ -99,7 +99,7 @@ def detections(readings: DataFrame, every: int, factor: int) -> DataFrame:
     again = readings.filter(F.col("seed") % every == 0).withColumns(
         {"ord": F.col("pos") * 2 + 1, "confidence": _pct(F.lit(70) + (F.col("seed") * factor + 1) % 30)}
     )
-    return first.unionByName(again).drop("pos")
+    return first.unionByName(again).drop("pos", "part_id")
 
 
 def detections_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +238,7 @@ a AS (
 
 B_SQL = """,
 b0 AS (
-  SELECT form_id, seed, true_id, CAST(seed % length(true_id) AS INTEGER) AS cut,
+  SELECT form_id, seed, part_id, true_id, CAST(seed % length(true_id) AS INTEGER) AS cut,
          row_number() OVER (PARTITION BY form_id ORDER BY
            CASE WHEN form_id % 11 = 0 THEN pos + 1 - pos % 2 * 2 ELSE pos END) - 1 AS pos
   FROM written WHERE seed % 37 <> 0),
@@ -250,11 +250,11 @@ b2 AS (
             || substr(true_id, cut + 2) AS changed
   FROM b1),
 b3 AS (
-  SELECT form_id, pos, seed,
+  SELECT form_id, pos, seed, part_id,
          CASE WHEN seed % 31 = 0 THEN substr(changed, 1, length(changed) - 1) ELSE changed END AS id_number
   FROM b2),
 b AS (
-  SELECT form_id, pos, seed, id_number, CAST(70 + (seed * 13 + 5) % 30 AS DOUBLE) / 100 AS confidence,
+  SELECT form_id, pos, seed, part_id, id_number, CAST(70 + (seed * 13 + 5) % 30 AS DOUBLE) / 100 AS confidence,
          list_transform(range(length(id_number)), lambda i:
            CAST(60 + (seed + i * 17 + 7) % 40 - CASE WHEN (seed + i * 3) % 89 = 0 THEN 12 ELSE 0 END AS DOUBLE) / 100)
            AS digit_conf
