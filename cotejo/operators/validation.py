@@ -1,6 +1,6 @@
 """Form rows against the registry, and the decisions that follow.
 
-The reference point leaves the field formula open; this is ours: accents stripped and upper-cased, each registry field
+No published formula exists for the fields; this one is ours: accents stripped and upper-cased, each registry field
 is compared with every written word, the best edit similarity counts, and the mean over the non-empty fields is the
 confidence."""
 
