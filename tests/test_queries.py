@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as driver
+from cotejo.catalog import registry
 from tests import oracle
 
 SF = f"{oracle.DATA}/sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = {n: driver.queries()[n] for n in registry()}, driver.oracle_sql()
 
 
 @pytest.fixture(scope="module")
