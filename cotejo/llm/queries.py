@@ -5,25 +5,42 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import bpe, mixing
+from cotejo.llm import bpe, mixing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.train(docs, labels))
+
+
+def op2_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.rate(docs, toxicity.train(docs, labels))
+
+
 def op3_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_texts(
         docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op5_warc(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).drop("source")
 
 
 QUERIES = {
+    "op1_quality": (op1_quality, None),
+    "op2_toxicity": (op2_toxicity, None),
     "op3_bpe": (op3_bpe, None),
+    "op5_warc": (op5_warc, warc.ORACLE_SQL),
     "op10_mixing": (op10_mixing, mixing.ORACLE_SQL),
 }

@@ -69,11 +69,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word ``[^\\x20\\x09-\\x0D]+`` and, per row, the number of its words."""
+def word_spans(data: np.ndarray, offsets: np.ndarray,
+               space: np.ndarray = WORD_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that are not ``space`` (by default words ``[^\\x20\\x09-\\x0D]+``), none across
+    rows, and the number of them in each row."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~WORD_SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1] | edge[1:-1])))
@@ -107,3 +109,15 @@ def row_shingles(hashes: np.ndarray, words: int) -> np.ndarray:
     for k in range(width):
         out += hashes[k:n - width + 1 + k] * _LANE_CODES[k]
     return mix(out + np.uint64(width) * _LANE_CODES[62])
+
+
+def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over rows with ``bounds``; 0 for empty rows."""
+    return np.diff(np.append(0, np.cumsum(values, dtype=np.int64))[bounds])
+
+
+def distinct_per_row(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Number of distinct hashes in each row, where row i holds the next ``counts[i]`` of them."""
+    row = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    order = np.unique(mix(hashes ^ mix(row + np.uint64(1))), return_index=True)[1]
+    return np.bincount(row[order].astype(np.int64), minlength=len(counts))
