@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import bpe, mixing, quality, toxicity, warc
+from cotejo.llm import bpe, mixing, near, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_warc(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_near(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).drop("source")
@@ -42,5 +46,6 @@ QUERIES = {
     "op2_toxicity": (op2_toxicity, None),
     "op3_bpe": (op3_bpe, None),
     "op5_warc": (op5_warc, warc.ORACLE_SQL),
+    "op8_near": (op8_near, near.ORACLE_SQL),
     "op10_mixing": (op10_mixing, mixing.ORACLE_SQL),
 }
