@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import bpe, mixing, near, quality, toxicity, warc
+from cotejo.llm import bpe, mixing, near, quality, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_warc(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_suffix(spark, sf_dir):
+    return suffix.dedup_passages(table(spark, sf_dir, "documents"), length=400, keep_first=False)
+
+
 def op8_near(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_toxicity": (op2_toxicity, None),
     "op3_bpe": (op3_bpe, None),
     "op5_warc": (op5_warc, warc.ORACLE_SQL),
+    "op7_suffix": (op7_suffix, None),
     "op8_near": (op8_near, near.ORACLE_SQL),
     "op10_mixing": (op10_mixing, mixing.ORACLE_SQL),
 }
