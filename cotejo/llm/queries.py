@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import bpe, mixing, near, quality, suffix, toxicity, warc
+from cotejo.llm import bpe, mixing, near, passages, quality, simhash, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,18 @@ def op3_bpe(spark, sf_dir):
         docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op4_sentences(spark, sf_dir):
+    return passages.dedup_sentences(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix(spark, sf_dir):
     return suffix.dedup_passages(table(spark, sf_dir, "documents"), length=400, keep_first=False)
 
@@ -49,7 +57,9 @@ QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_toxicity": (op2_toxicity, None),
     "op3_bpe": (op3_bpe, None),
+    "op4_sentences": (op4_sentences, None),
     "op5_warc": (op5_warc, warc.ORACLE_SQL),
+    "op6_simhash": (op6_simhash, None),
     "op7_suffix": (op7_suffix, None),
     "op8_near": (op8_near, near.ORACLE_SQL),
     "op10_mixing": (op10_mixing, mixing.ORACLE_SQL),
