@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import bpe, mixing, near, passages, quality, simhash, suffix, toxicity, warc
+from cotejo.llm import bpe, mixing, near, neighbours, passages, quality, simhash, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op8_near(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op9_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).drop("source")
@@ -62,5 +66,6 @@ QUERIES = {
     "op6_simhash": (op6_simhash, None),
     "op7_suffix": (op7_suffix, None),
     "op8_near": (op8_near, near.ORACLE_SQL),
+    "op9_neighbours": (op9_neighbours, None),
     "op10_mixing": (op10_mixing, mixing.ORACLE_SQL),
 }
