@@ -26,8 +26,9 @@ from cotejo.llm.textops import mix, slices, small_batches, text_bytes
 from cotejo.plans.staging import staged
 
 LENGTH = 400
-#: Anchor k-gram; smaller than any length in use.
-GRAM = 96
+#: The anchor k-gram's share of the length.
+GRAM_SHARE = 0.24
+SHORTEST = 100
 #: Different contexts of one anchor that one task takes.
 GROUP = 2000
 #: Bytes whose suffixes are sorted at once, unless one anchor has more.
@@ -72,9 +73,10 @@ def contexts(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, empty
     one, two = Rolling(data, 0), Rolling(data, 1)
-    at = np.arange(len(data) - GRAM + 1)
-    grams = one.of(at, at + GRAM)
-    low = sliding_minimum((grams & ~_POSITION) | at.astype(np.uint64), length - GRAM + 1)
+    gram = int(length * GRAM_SHARE)
+    at = np.arange(len(data) - gram + 1)
+    grams = one.of(at, at + gram)
+    low = sliding_minimum((grams & ~_POSITION) | at.astype(np.uint64), length - gram + 1)
     anchor = (low & _POSITION).astype(np.int64)
     first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     count = np.diff(np.append(first, len(anchor)))
@@ -269,8 +271,8 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     are empty; texts shorter than ``length`` stay whole; rows repeating both id and text count as copies, and with
     ``keep_first`` all of those of the smallest id keep what one keeps. An empty table gives an empty one.
     """
-    if length < GRAM + 8:
-        raise ValueError(f"length must be at least {GRAM + 8}")
+    if length < SHORTEST:
+        raise ValueError(f"length must be at least {SHORTEST}")
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select("doc_id", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], body.alias("text"),

@@ -179,3 +179,16 @@ def rate(docs: DataFrame, model: Ordinal, columns: tuple[str, ...] = ("doc_id",)
     return rated.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "score", "expected_severity",
         F.round("expected_severity").cast("int").alias("grade"), (F.col("score") >= model.cut).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not reject; null and empty texts stay."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                p = model.probabilities(*text_bytes(part.column("text")))
+                yield part.filter(pa.array(p[:, 0] < model.cut))
+
+    return docs.mapInArrow(run, docs.schema)
