@@ -67,13 +67,16 @@ def n16_expires_at(spark, sf):
 
 
 def n17_state_changes(spark, sf):
-    ks = acc.keys(spark, sf).filter(c("key_id") % 2 == 0)
-    us = acc.users(spark, sf).filter(c("user_id") % 2 == 1)
-    changed = sinks.with_changes(ks, account.revoke(moment(AS_OF)) | account.record_usage(moment(AS_OF)))
-    logged = sinks.with_changes(us, account.record_login(moment(AS_OF)) | account.verify_email(moment(AS_OF)))
-    off = sinks.with_changes(logged, account.set_active(False, moment(AS_OF)))
-    k = changed.select(F.lit("key").alias("kind"), c("key_id").alias("id"), "is_active", c("revoked_at").alias("t1"), c("last_used_at").alias("t2"))
-    u = off.select(F.lit("user").alias("kind"), c("user_id").alias("id"), "is_active", c("last_login_at").alias("t1"), c("updated_at").alias("t2"))
+    changed = sinks.with_changes(acc.keys(spark, sf), account.revoke(moment(AS_OF)) | account.record_usage(moment(AS_OF)))
+    logged = sinks.with_changes(
+        acc.users(spark, sf), account.record_login(moment(AS_OF)) | account.verify_email(moment(AS_OF)))
+    on, off = [sinks.with_changes(logged.filter(c("user_id") % 2 == int(not active)), account.set_active(active, moment(AS_OF)))
+               for active in (True, False)]
+    k = changed.select(F.lit("key").alias("kind"), c("key_id").alias("id"), "is_active", c("revoked_at").alias("t1"),
+                       c("last_used_at").alias("t2"), F.lit(None).cast("boolean").alias("email_verified"))
+    u = on.unionByName(off).select(
+        F.lit("user").alias("kind"), c("user_id").alias("id"), "is_active", c("last_login_at").alias("t1"),
+        c("updated_at").alias("t2"), "email_verified")
     return k.unionByName(u)
 
 
@@ -423,8 +426,8 @@ FROM (SELECT *, CAST(p_retailprice AS DECIMAL(10,2)) AS m,
 SELECT key_id, CASE WHEN key_id % 9 <> 0 AND key_id % 400 > 10
                     THEN created_at + to_days(CAST(key_id % 400 - 10 AS INTEGER)) END AS expires_at FROM keys""")),
     "n17_state_changes": (n17_state_changes, with_accounts(f"""
-SELECT 'key' AS kind, key_id AS id, false AS is_active, {NOW} AS t1, {NOW} AS t2 FROM keys WHERE key_id % 2 = 0
-UNION ALL SELECT 'user', user_id, false, {NOW}, {NOW} FROM users WHERE user_id % 2 = 1""")),
+SELECT 'key' AS kind, key_id AS id, false AS is_active, {NOW} AS t1, {NOW} AS t2, CAST(NULL AS BOOLEAN) AS email_verified
+FROM keys UNION ALL SELECT 'user', user_id, user_id % 2 = 0, {NOW}, {NOW}, true FROM users""")),
     "n18_scope_parts": (n18_scope_parts, with_accounts("""
 SELECT p_partkey, CASE WHEN ok THEN code END AS code, CASE WHEN ok THEN split_part(code, ':', 1) END AS category,
        CASE WHEN ok THEN split_part(code, ':', 2) END AS action

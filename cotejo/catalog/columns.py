@@ -58,7 +58,7 @@ def t5_fix_confusable_letters(spark, sf):
 
 
 def t11_sequence_ratio(spark, sf):
-    p = positional_pairs(spark, sf).filter(c("a_id") != c("b_id"))
+    p = positional_pairs(spark, sf)
     return p.select("form_id", "pos", "a_id", "b_id", tx.sequence_ratio(c("a_id"), c("b_id")).alias("ratio"))
 
 
@@ -188,9 +188,8 @@ def n9_rectangle_overlaps(spark, sf):
 def n22_image_size(spark, sf):
     w, h = (c("x") * 13).cast("int"), (c("y") * 17).cast("int")
     fitted = geo.fitted_size(w, h)
-    sized = _rectangles(spark, sf).filter((c("x") > 0) & (c("y") > 0))
     problem = geo.size_problem(w, h)
-    return sized.select("form_id", "pos", (problem == "").alias("valid"), problem.alias("reason"),
+    return _rectangles(spark, sf).select("form_id", "pos", (problem == "").alias("valid"), problem.alias("reason"),
                         fitted["w"].alias("fit_w"), fitted["h"].alias("fit_h"))
 
 
@@ -349,11 +348,11 @@ SELECT form_id, pos, x < px + h AND px < x + w AND y < py + w AND py < y + h AS
 SELECT form_id, pos, reason = '' AS valid, reason,
        CASE WHEN iw <= 4000 AND ih <= 4000 THEN iw ELSE CAST(trunc(iw * ratio) AS INTEGER) END AS fit_w,
        CASE WHEN iw <= 4000 AND ih <= 4000 THEN ih ELSE CAST(trunc(ih * ratio) AS INTEGER) END AS fit_h
-FROM (SELECT *, least(4000e0 / iw, 4000e0 / ih) AS ratio,
+FROM (SELECT *, least(coalesce(4000e0 / nullif(iw, 0), 1e9), coalesce(4000e0 / nullif(ih, 0), 1e9)) AS ratio,
              CASE WHEN iw < 100 OR ih < 100 THEN printf('too small: %dx%d (min 100x100)', iw, ih)
                   WHEN iw > 10000 OR ih > 10000 THEN printf('too large: %dx%d (max 10000x10000)', iw, ih)
                   ELSE '' END AS reason
-      FROM (SELECT form_id, pos, x * 13 AS iw, y * 17 AS ih FROM rect WHERE x > 0 AND y > 0))""", RECT_SQL)),
+      FROM (SELECT form_id, pos, x * 13 AS iw, y * 17 AS ih FROM rect))""", RECT_SQL)),
     "f1_specifications": (f1_specifications, _sql("""
 SELECT form_id, pos, regexp_full_match(raw, '[0-9]+') AS only_digits, length(raw) BETWEEN 3 AND 11 AS length_ok,
        length(raw) BETWEEN 6 AND 10 AS length_6_10, conf * 100 >= 50e0 AS confident,

@@ -1,5 +1,5 @@
-"""Streaming queries, drained over the event table (X1-X4). Drained results equal the batch operators wherever the
-watermark has passed."""
+"""Streaming queries, drained over the whole event table (X1-X4). An end marker closes the last windows, so drained results
+equal the batch operators."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cotejo.plans import derive
+from cotejo.plans import derive, derive_accounts as acc
 from cotejo.session import checkpoint_root
+from cotejo.sources import sinks
 from cotejo.streaming import jobs
 
 c = F.col
@@ -23,22 +24,21 @@ def x1_streaming_counters(spark, sf):
     events = _stream(spark, sf).select(
         "user_id", c("event_type").alias("resource"), (c("event_id") % 3 + 1).cast("int").alias("quantity"),
         c("ts").cast("timestamp").alias("created_at"))
-    counters = jobs.drain(jobs.windowed_counters(events, "1 day"), "counters")
-    # The last two days are still open behind the watermark in append mode.
-    closed = counters.filter(c("period_start") < F.lit("2024-01-28").cast("timestamp"))
-    return closed.select("user_id", "resource", c("period_start").cast("timestamp_ntz").alias("period_start"), "count_current")
+    events, end = jobs.with_end(events, "created_at")
+    counters = jobs.drain(jobs.windowed_counters(events, "1 day"), "counters", ends=(end,))
+    return counters.select("user_id", "resource", c("period_start").cast("timestamp_ntz").alias("period_start"), "count_current")
 
 
 def x2_arrival_join(spark, sf):
     e = c("event_id")
-    base = _stream(spark, sf).filter(c("ts") < F.lit("2024-01-27").cast("timestamp_ntz"))
+    base = _stream(spark, sf)
     at = c("ts").cast("timestamp")
     a = base.filter(e % 4 != 1).select(e.alias("form_id"), c("user_id").alias("pos"), F.sha2(e.cast("string"), 256).alias("a_id"), at.alias("arrived_a"))
     late = at + F.when(e % 10 == 0, F.expr("INTERVAL 90 SECONDS")).otherwise(F.expr("INTERVAL 20 SECONDS"))
     b = base.filter(e % 4 != 2).select(e.alias("form_id"), c("user_id").alias("pos"), F.sha2(e.cast("string"), 256).alias("b_id"), late.alias("arrived_b"))
-    joined = jobs.drain(jobs.arrival_join(a, b), "arrivals")
-    settled = joined.filter(F.coalesce("arrived_a", "arrived_b") < F.lit("2024-01-26").cast("timestamp"))
-    return settled.select("form_id", "pos", c("a_id").isNotNull().alias("in_a"), c("b_id").isNotNull().alias("in_b"))
+    (a, end_a), (b, end_b) = jobs.with_end(a, "arrived_a"), jobs.with_end(b, "arrived_b")
+    joined = jobs.drain(jobs.arrival_join(a, b), "arrivals", ends=(end_a, end_b))
+    return joined.filter(c("form_id").isNotNull()).select("form_id", "pos", c("a_id").isNotNull().alias("in_a"), c("b_id").isNotNull().alias("in_b"))
 
 
 def x3_first_readings(spark, sf):
@@ -53,23 +53,22 @@ def x4_last_used(spark, sf):
     path = f"{checkpoint_root(spark)}/cotejo-last-used-{uuid.uuid4().hex}"
     requests = _stream(spark, sf).filter(c("event_type") != "error").select(c("user_id").alias("key_id"), "ts")
     jobs.keep_last_used(requests, path)
-    return jobs.read_last_used(spark, path)
+    return sinks.apply_key_changes(acc.keys(spark, sf), jobs.read_last_used(spark, path)).select("key_id", "last_used_at")
 
 
 QUERIES = {
     "x1_streaming_counters": (x1_streaming_counters, """
 SELECT user_id, event_type AS resource, date_trunc('day', ts) AS period_start, sum(event_id % 3 + 1) AS count_current
-FROM events WHERE ts < TIMESTAMP '2024-01-28' GROUP BY ALL"""),
+FROM events GROUP BY ALL"""),
     "x2_arrival_join": (x2_arrival_join, """
-SELECT form_id, pos, in_a, in_b FROM (
-  SELECT event_id AS form_id, user_id AS pos, true AS in_a, event_id % 4 <> 2 AND event_id % 10 <> 0 AS in_b, ts AS seen
-  FROM events WHERE event_id % 4 <> 1
-  UNION ALL
-  SELECT event_id, user_id, false, true, ts + CASE WHEN event_id % 10 = 0 THEN INTERVAL 90 SECONDS ELSE INTERVAL 20 SECONDS END
-  FROM events WHERE event_id % 4 = 1 OR (event_id % 4 <> 2 AND event_id % 10 = 0))
-WHERE seen < TIMESTAMP '2024-01-26'"""),
+SELECT event_id AS form_id, user_id AS pos, true AS in_a, event_id % 4 <> 2 AND event_id % 10 <> 0 AS in_b
+FROM events WHERE event_id % 4 <> 1
+UNION ALL
+SELECT event_id, user_id, false, true FROM events WHERE event_id % 4 = 1 OR (event_id % 4 <> 2 AND event_id % 10 = 0)"""),
     "x3_first_readings": (x3_first_readings, """
 SELECT DISTINCT user_id % 20 AS form_id, CAST(event_id % 100 AS VARCHAR) AS id_number FROM events"""),
     "x4_last_used": (x4_last_used, """
-SELECT user_id AS key_id, max(ts) AS last_used_at FROM events WHERE event_type <> 'error' GROUP BY user_id"""),
+SELECT c_custkey AS key_id, last_used_at FROM customer LEFT JOIN (
+  SELECT user_id, max(ts) AS last_used_at FROM events WHERE event_type <> 'error' GROUP BY user_id) u
+ON user_id = c_custkey"""),
 }

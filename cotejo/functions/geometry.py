@@ -103,7 +103,8 @@ def size_problem(w, h, min_w: int = 100, min_h: int = 100, max_w: int = 10000, m
 
 def fitted_size(w, h, max_w: int = 4000, max_h: int = 4000) -> Column:
     """Size after shrinking to the limits, keeping the aspect ratio; unchanged when already within them."""
-    ratio = F.least(F.lit(float(max_w)) / w, F.lit(float(max_h)) / h)
+    # A side of length 0 sets no limit; ``least`` passes over its NULL.
+    ratio = F.least(F.lit(float(max_w)) / F.nullif(w, F.lit(0)), F.lit(float(max_h)) / F.nullif(h, F.lit(0)))
     fits = (w <= max_w) & (h <= max_h)
     return F.struct(
         F.when(fits, w).otherwise((w * ratio).cast("int")).alias("w"),

@@ -230,10 +230,10 @@ def is_empty_row(names: Column, id_number: Column, names_conf: Column, id_conf:
     return nothing | unsure | short
 
 
-def densify_rows(rows: DataFrame, forms: DataFrame, expected: int = DEFAULT.expected_rows) -> DataFrame:
-    """All expected rows of every form; rows that were not read come out empty."""
-    grid = forms.select("form_id", F.explode(F.sequence(F.lit(0), F.lit(expected - 1))).alias("row_index"))
-    full = grid.join(rows, ["form_id", "row_index"], "left")
+def densify_rows(rows: DataFrame, forms: DataFrame, p: LayoutParams = DEFAULT) -> DataFrame:
+    """All expected rows of every form, and any that were read beyond them; rows that were not read come out empty."""
+    grid = forms.select("form_id", F.explode(F.sequence(F.lit(0), F.lit(p.expected_rows - 1))).alias("row_index"))
+    full = grid.join(rows, ["form_id", "row_index"], "full")
     blank = {"names": F.lit(""), "id_number": F.lit(""), "is_empty": F.lit(True)}
     return full.withColumns({k: F.coalesce(F.col(k), v) for k, v in blank.items()})
 
@@ -266,31 +266,31 @@ def first_row_texts(rows: DataFrame, blocks: str = "blocks") -> DataFrame:
 
 
 # --- per-digit confidences ------------------------------------------------------------------------------------------
-LONG_STREAM = 4096
 BLOCK = 512
-LONGEST_ID = 11
 
 
-def _long_stream_grams(stream: DataFrame) -> DataFrame:
-    """First occurrence of every 3-11 digit string in streams beyond ``LONG_STREAM`` digits, with its confidences. Such a
-    stream is cut into blocks that overlap by one identifier, and looked up by an equi-join instead of row by row."""
-    width = BLOCK + LONGEST_ID - 1
+def _stream_grams(stream: DataFrame, wanted: DataFrame) -> DataFrame:
+    """First occurrence of every digit string of a wanted length in its form's stream, with its confidences. Streams are cut
+    into blocks that overlap by the longest identifier of the form, so a long one spreads over many tasks."""
+    lengths = wanted.filter(F.length("target") > 0).groupBy("form_id").agg(
+        F.collect_set(F.length("target")).alias("lengths"))
+    known = stream.join(lengths, "form_id").withColumn("overlap", F.array_max("lengths") - 1)
     starts = F.sequence(F.lit(1), F.length("digits"), F.lit(BLOCK))
-    blocks = stream.filter(F.length("digits") > LONG_STREAM).select(
-        "form_id", "digits", "confs", F.explode(starts).alias("from")
+    blocks = known.filter(F.length("digits") > 0).select(
+        "form_id", "lengths", "digits", "confs", "overlap", F.explode(starts).alias("from")
     ).select(
-        "form_id", "from", F.substr("digits", F.col("from"), F.lit(width)).alias("digits"),
-        F.slice("confs", F.col("from"), F.lit(width)).alias("confs"),
+        "form_id", "lengths", "from", F.substr("digits", F.col("from"), F.col("overlap") + BLOCK).alias("digits"),
+        F.slice("confs", F.col("from"), F.col("overlap") + BLOCK).alias("confs"),
     )
     size = F.least(F.length("digits"), F.lit(BLOCK))
     at = blocks.select("*", F.explode(F.sequence(F.lit(1), size)).alias("at"))
-    each = at.select("*", F.explode(F.sequence(F.lit(3), F.lit(LONGEST_ID))).alias("k"))
-    each = each.filter(F.col("at") + F.col("k") - 1 <= F.length("digits"))
+    each = at.select("*", F.explode("lengths").alias("k")).filter(F.col("at") + F.col("k") - 1 <= F.length("digits"))
     grams = each.select(
         "form_id", F.substr("digits", F.col("at"), F.col("k")).alias("target"), (F.col("from") + F.col("at")).alias("place"),
         F.slice("confs", F.col("at"), F.col("k")).alias("hit"),
     )
-    return grams.groupBy("form_id", "target").agg(F.min_by("hit", F.col("place")).alias("hit"))
+    met = grams.join(wanted.select("form_id", "target").distinct(), ["form_id", "target"], "left_semi")
+    return met.groupBy("form_id", "target").agg(F.min_by("hit", F.col("place")).alias("hit"))
 
 
 def map_digit_confidences(ids: DataFrame, streams: DataFrame, missing: float = 0.85) -> DataFrame:
@@ -312,18 +312,9 @@ def map_digit_confidences(ids: DataFrame, streams: DataFrame, missing: float = 0
         ).otherwise(F.lit(0.0)).alias("mean"),
     )
     wanted = ids.withColumn("target", tx.digits_only(F.col("id_number")))
-    short = F.length("digits") <= LONG_STREAM
-    light = stream.select("form_id", "mean", *[F.when(short, F.col(k)).alias(k) for k in ("digits", "confs")])
-    mapped = wanted.join(light, "form_id", "left")
-    if not stream.filter(~short).isEmpty():
-        mapped = mapped.join(_long_stream_grams(stream), ["form_id", "target"], "left")
-    else:
-        mapped = mapped.withColumn("hit", F.lit(None).cast("array<double>"))
-    at = F.coalesce(F.call_function("instr", F.col("digits"), F.col("target")), F.lit(0))
-    mapped = mapped.withColumns({"at": at, "n": F.length("target")})
-    inside = F.when(F.col("at") > 0, F.slice("confs", F.greatest(F.col("at"), F.lit(1)), F.col("n")))
-    found = F.coalesce("hit", inside)
-    flat = F.array_repeat(F.coalesce("mean", F.lit(missing)), F.col("n"))
-    return mapped.withColumns({"digit_conf": F.coalesce(found, flat), "found": found.isNotNull()}).drop(
-        "digits", "confs", "mean", "at", "n", "hit", "target"
+    mapped = wanted.join(stream.select("form_id", "mean"), "form_id", "left")
+    mapped = mapped.join(_stream_grams(stream, wanted), ["form_id", "target"], "left")
+    flat = F.array_repeat(F.coalesce("mean", F.lit(missing)), F.length("target"))
+    return mapped.withColumns({"digit_conf": F.coalesce("hit", flat), "found": F.col("hit").isNotNull()}).drop(
+        "mean", "hit", "target"
     )

@@ -1,10 +1,10 @@
-"""Positional pairing of two reading lists with a +-2 repair window, exact for forms of any length.
+"""Positional pairing of two reading lists with a small repair window (+-2 by default), exact for forms of any length.
 
 Position i of A pairs with position i of B when they are similar enough. Otherwise A takes the most similar B reading
 in the window that nobody took before (first wins ties), or is forced onto position i. "Nobody before" makes the
-repair sequential, but its memory is short: what matters at i is which of i-2..i+1 are taken. That is four bits, so a
-long form is cut into chunks, each chunk is a function from 16 possible states to 16, and only chunks whose last rows
-need repair have to be chained."""
+repair sequential, but its memory is short: with a window of w, what matters at i is which of i-w..i+w-1 are taken. That
+is 2w bits, so a long form is cut into chunks, each chunk is a function from 4**w possible states to as many, and only
+chunks whose last rows need repair have to be chained."""
 
 from __future__ import annotations
 
@@ -17,84 +17,97 @@ from cotejo.plans.staging import staged
 
 DEFAULT = VoteParams()
 CHUNK = 512
-# Bits for i-2 and i-1: the state after two or more positional pairs, and at the start of a form.
-SETTLED = 3
+# The wider the window, the more states a chunk is folded for.
+WIDEST_WINDOW = 5
 
 _PICKS = "array<struct<pos:bigint,step:int>>"
 
 
+def settled(window: int) -> int:
+    """Bits for i-w..i-1: the state after w or more positional pairs, and at the start of a form."""
+    return (1 << window) - 1
+
+
 def _shift_right(bits: Column, n: Column) -> Column:
-    return F.call_function("shiftright", bits, F.least(n, F.lit(8)).cast("int"))
+    return F.call_function("shiftright", bits, F.least(n, F.lit(30)).cast("int"))
 
 
 def _bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), n.cast("int"))
 
 
-def _advance(bits: Column, gap: Column) -> Column:
+def _advance(bits: Column, gap: Column, window: int) -> Column:
     """Taken bits seen from ``gap`` positions further on; the positions jumped over paired positionally."""
-    jumped = F.when(gap >= 3, SETTLED).when(gap == 2, 2).otherwise(0)
-    return _shift_right(bits, gap).bitwiseOR(jumped)
+    jumped = F.lit(settled(window))
+    for n in range(window - 1, -1, -1):
+        jumped = F.when(gap == n + 1, ((1 << n) - 1) << (window - n)).otherwise(jumped)
+    return _shift_right(bits, gap).bitwiseOR(jumped.cast("int"))
 
 
-def _fold(weak: Column, start: Column, entry: Column) -> Column:
-    """Walk one chunk's weak positions in order. ``entry`` holds the bits for start-2..start+1."""
+def _fold(weak: Column, start: Column, entry: Column, window: int) -> Column:
+    """Walk one chunk's weak positions in order. ``entry`` holds the bits for start-w..start+w-1."""
     zero = F.struct(
         (start - 1).alias("prev"), (entry * 2).cast("int").alias("bits"), F.array().cast(_PICKS).alias("picks")
     )
 
     def step(acc: Column, w: Column) -> Column:
         def with_bits(bits: Column) -> Column:
-            free = F.filter(w["steps"], lambda s: _shift_right(bits, s + 2).bitwiseAND(1) == 0)
+            free = F.filter(w["steps"], lambda s: _shift_right(bits, s + window).bitwiseAND(1) == 0)
             return F.struct(bits.alias("bits"), F.try_element_at(free, F.lit(1)).alias("step"))
 
         def taken(s: Column) -> Column:
             return F.struct(
                 w["pos"].alias("prev"),
-                s["bits"].bitwiseOR(_bit(F.coalesce(s["step"], F.lit(0)) + 2)).cast("int").alias("bits"),
+                s["bits"].bitwiseOR(_bit(F.coalesce(s["step"], F.lit(0)) + window)).cast("int").alias("bits"),
                 F.concat(acc["picks"], F.array(F.struct(w["pos"].alias("pos"), s["step"].alias("step")))).alias("picks"),
             )
 
-        bits = F.array(_advance(acc["bits"], w["pos"] - acc["prev"]).cast("int"))
+        bits = F.array(_advance(acc["bits"], w["pos"] - acc["prev"], window).cast("int"))
         return F.transform(F.transform(bits, with_bits), taken)[0]
 
     return F.aggregate(weak, zero, step)
 
 
-def _exit_bits(folded: Column, end: Column) -> Column:
-    return _advance(folded["bits"], end - folded["prev"]).bitwiseAND(15).cast("int")
+def _exit_bits(folded: Column, end: Column, window: int) -> Column:
+    return _advance(folded["bits"], end - folded["prev"], window).bitwiseAND((1 << 2 * window) - 1).cast("int")
+
 
+def _chainer(start: int):
+    def chain(chunks: pd.DataFrame) -> pd.DataFrame:
+        """Entry state of every chunk that follows a chunk with an open end. One short row per such chunk."""
+        chunks = chunks.sort_values("chunk")
+        out, last, state = [], None, start
+        for chunk, exits in zip(chunks["chunk"], chunks["exits"]):
+            state = int(exits[state if last == chunk - 1 else start])
+            last = chunk
+            out.append((chunk + 1, state))
+        found = pd.DataFrame(out, columns=["chunk", "entry"])
+        found.insert(0, "form_id", chunks["form_id"].iloc[0])
+        return found
 
-def _chain(chunks: pd.DataFrame) -> pd.DataFrame:
-    """Entry state of every chunk that follows a chunk with an open end. One short row per such chunk."""
-    chunks = chunks.sort_values("chunk")
-    out, last, state = [], None, SETTLED
-    for chunk, exits in zip(chunks["chunk"], chunks["exits"]):
-        state = int(exits[state if last == chunk - 1 else SETTLED])
-        last = chunk
-        out.append((chunk + 1, state))
-    found = pd.DataFrame(out, columns=["chunk", "entry"])
-    found.insert(0, "form_id", chunks["form_id"].iloc[0])
-    return found
+    return chain
 
 
-def resolve_repairs(weak: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def resolve_repairs(weak: DataFrame, chunk: int = CHUNK, window: int = DEFAULT.repair_window) -> DataFrame:
     """``weak``: form_id, pos, steps (window offsets of usable B positions, best first). Returns form_id, pos, step;
     a NULL step is a forced positional pair."""
+    if not 0 <= window <= WIDEST_WINDOW:
+        raise ValueError(f"the repair window must lie between 0 and {WIDEST_WINDOW}")
     pieces = weak.groupBy("form_id", F.floor(F.col("pos") / chunk).alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "steps"))).alias("weak")
     )
     pieces = pieces.withColumns({"start": F.col("chunk") * chunk, "end": (F.col("chunk") + 1) * chunk})
     last = F.element_at("weak", -1)["pos"]
-    open_end = pieces.filter(last >= F.col("end") - 2).select(
+    open_end = pieces.filter(last >= F.col("end") - window).select(
         "form_id", "chunk",
         F.transform(
-            F.sequence(F.lit(0), F.lit(15)), lambda s: _exit_bits(_fold(F.col("weak"), F.col("start"), s), F.col("end"))
+            F.sequence(F.lit(0), F.lit((1 << 2 * window) - 1)),
+            lambda s: _exit_bits(_fold(F.col("weak"), F.col("start"), s, window), F.col("end"), window),
         ).alias("exits"),
     )
-    entries = open_end.groupBy("form_id").applyInPandas(_chain, "form_id bigint, chunk bigint, entry int")
+    entries = open_end.groupBy("form_id").applyInPandas(_chainer(settled(window)), "form_id bigint, chunk bigint, entry int")
     entered = pieces.join(entries, ["form_id", "chunk"], "left")
-    folded = _fold(F.col("weak"), F.col("start"), F.coalesce("entry", F.lit(SETTLED)))
+    folded = _fold(F.col("weak"), F.col("start"), F.coalesce("entry", F.lit(settled(window))), window)
     return entered.select("form_id", F.explode(folded["picks"]).alias("p")).select("form_id", "p.pos", "p.step")
 
 
@@ -116,7 +129,7 @@ def find_repairs(a: DataFrame, b: DataFrame, p: VoteParams = DEFAULT, chunk: int
     steps = tried.groupBy("form_id", "pos").agg(
         F.transform(F.sort_array(F.collect_list(usable)), lambda s: s["step"]).alias("steps")
     )
-    picks = resolve_repairs(staged(steps, "steps"), chunk)
+    picks = resolve_repairs(staged(steps, "steps"), chunk, p.repair_window)
     return picks.select(
         "form_id", "pos", (F.col("pos") + F.coalesce("step", F.lit(0))).alias("b_pos"),
         F.when(F.col("step").isNull(), "forced").otherwise("repaired").alias("how"),

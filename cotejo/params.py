@@ -31,6 +31,8 @@ class VoteParams:
     ambiguity_floor: float = 0.05
     relaxation: float = 0.10
     relaxing_confidence: float = 0.75
+    label_weak: float = 0.70
+    label_sure: float = 0.80
     allow_low_confidence_override: bool = True
     min_positional_ratio: float = 0.30
     repair_window: int = 2

@@ -104,11 +104,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(key_text(c("user_id")))
     )
     codes = part_codes(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
     first = codes.select(c("p_partkey").alias("first_part"), c("code").alias("first_code"))
     second = codes.select(c("p_partkey").alias("second_part"), c("code").alias("second_code"))
     events = table(spark, sf_dir, "events").select(
-        e.alias("request_id"), key.alias("key"), "ts", (e % 200).alias("first_part"),
-        F.when(e % 3 == 0, e * 7 % 200).alias("second_part"),
+        e.alias("request_id"), key.alias("key"), "ts", (e % parts).alias("first_part"),
+        F.when(e % 3 == 0, e * 7 % parts).alias("second_part"),
     )
     joined = events.join(first, "first_part").join(second, "second_part", "left")
     return joined.select("request_id", "key", F.array_compact(F.array("first_code", "second_code")).alias("required"), "ts")
@@ -207,8 +208,9 @@ key_codes AS (
   WHERE p_partkey = c_custkey + 7 * t.i),
 requests AS (
   SELECT event_id AS request_id, ts, user_id, a.code AS code1, b.code AS code2
-  FROM events JOIN part_codes a ON a.p_partkey = event_id % 200
-  LEFT JOIN part_codes b ON b.p_partkey = CASE WHEN event_id % 3 = 0 THEN event_id * 7 % 200 END),
+  FROM (SELECT *, (SELECT count(*) FROM part) AS parts FROM events) e
+  JOIN part_codes a ON a.p_partkey = event_id % parts
+  LEFT JOIN part_codes b ON b.p_partkey = CASE WHEN event_id % 3 = 0 THEN event_id * 7 % parts END),
 usage AS (
   SELECT event_id, user_id, event_type AS resource, CAST(event_id % 3 + 1 AS INTEGER) AS quantity,
          CASE WHEN event_id % 17 <> 0 THEN CAST(value AS DECIMAL(12,6)) END AS provider_cost_usd,

@@ -14,7 +14,7 @@ from cotejo.plans.staging import staged
 def reading_list(detections: DataFrame, side: str) -> DataFrame:
     """De-duplicated detections of one side as a dense list: form_id, pos, <side>_id, <side>_conf, <side>_digits."""
     best = dedupe_best(detections.select("form_id", "id_number", "ord", "confidence", "digit_conf"))
-    listed = dense_position(best, detections)
+    listed = dense_position(best)
     return listed.select(
         "form_id", "pos", F.col("id_number").alias(f"{side}_id"), F.col("confidence").alias(f"{side}_conf"),
         F.col("digit_conf").alias(f"{side}_digits"),

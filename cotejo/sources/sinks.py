@@ -5,7 +5,7 @@ over. Snapshots are never overwritten in place while being read."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cotejo.functions.account import clean_email
 
@@ -53,30 +53,56 @@ def insert_keys(new_keys: DataFrame, catalog: DataFrame) -> tuple[DataFrame, Dat
 
 
 def apply_key_changes(keys: DataFrame, changes: DataFrame, key: str = "key_id") -> DataFrame:
-    """New key snapshot. Only ``is_active``, ``last_used_at`` and ``revoked_at`` change; scopes never do."""
-    mutable = [c for c in ("is_active", "last_used_at", "revoked_at") if c in changes.columns]
-    new = changes.select(key, *[F.col(c).alias(f"new_{c}") for c in mutable])
+    """New key snapshot. Only ``is_active``, ``last_used_at`` and ``revoked_at`` change; scopes never do.
+
+    A NULL in ``changes`` leaves a column alone unless a boolean column ``set_<name>`` says that it is to be written. Of
+    several changes of one key the latest use, the first revocation and any deactivation count."""
+    pick = {"is_active": F.min, "last_used_at": F.max, "revoked_at": F.min}
+    mutable = [c for c in pick if c in changes.columns]
+    told = {c: F.col(f"set_{c}") if f"set_{c}" in changes.columns else F.col(c).isNotNull() for c in mutable}
+    new = changes.groupBy(key).agg(
+        *[pick[c](F.when(told[c], F.col(c))).alias(f"new_{c}") for c in mutable],
+        *[F.coalesce(F.bool_or(told[c]), F.lit(False)).alias(f"told_{c}") for c in mutable])
     joined = keys.join(new, key, "left")
-    return joined.withColumns({c: F.coalesce(f"new_{c}", c) for c in mutable}).select(*keys.columns)
+    return joined.withColumns(
+        {c: F.when(F.col(f"told_{c}"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in mutable}).select(*keys.columns)
 
 
 def delete_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_anti")
 
 
+def split_upserts(users: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Incoming users that can be written, and the others with their ``reason``: ``malformed`` e-mail, ``repeated`` (not the
+    first e-mail of an id that comes more than once) or ``taken`` (another user of the snapshot has the e-mail, or a
+    smaller incoming id claims it)."""
+    cleaned = incoming.withColumn("clean", clean_email(F.col("email")))
+    malformed = cleaned.filter(F.col("clean").isNull()).drop("clean").withColumn("reason", F.lit("malformed"))
+    fresh = cleaned.filter(F.col("clean").isNotNull()).withColumn("email", F.col("clean")).drop("clean")
+    turn = Window.partitionBy("user_id").orderBy("email", *[c for c in fresh.columns if c not in ("user_id", "email")])
+    ranked = fresh.withColumn("turn", F.row_number().over(turn))
+    repeated = ranked.filter("turn > 1").drop("turn").withColumn("reason", F.lit("repeated"))
+    single = ranked.filter("turn = 1").drop("turn")
+    owners = users.groupBy("email").agg(F.min("user_id").alias("owner"))
+    claims = single.groupBy("email").agg(F.min("user_id").alias("claimant"))
+    judged = single.join(owners, "email", "left").join(claims, "email")
+    free = F.coalesce(F.col("owner") == F.col("user_id"), F.col("claimant") == F.col("user_id"))
+    columns = incoming.columns
+    taken = judged.filter(~free).select(*columns).withColumn("reason", F.lit("taken"))
+    return judged.filter(free).select(*columns), malformed.unionByName(repeated).unionByName(taken)
+
+
 def upsert_users(users: DataFrame, incoming: DataFrame) -> DataFrame:
-    """New user snapshot: known ids take the incoming mutable fields; unknown ids are added unless their cleaned e-mail
-    is malformed or already taken (by a user, or by an earlier incoming id)."""
+    """New user snapshot: known ids take the incoming mutable fields (a NULL leaves one alone), unknown ids are added.
+    Only the rows that :func:`split_upserts` accepts are written."""
     mutable = [c for c in users.columns if c not in ("user_id", "created_at")]
-    fresh = incoming.withColumn("email", clean_email(F.col("email"))).filter(F.col("email").isNotNull())
-    changes = fresh.select("user_id", *[F.col(c).alias(f"new_{c}") for c in mutable])
+    accepted, _ = split_upserts(users, incoming)
+    changes = accepted.select("user_id", *[F.col(c).alias(f"new_{c}") for c in mutable])
     updated = users.join(changes, "user_id", "left").withColumns(
         {c: F.coalesce(f"new_{c}", c) for c in mutable}
     ).select(*users.columns)
-    added = fresh.join(users.select("user_id"), "user_id", "left_anti").join(users.select("email"), "email", "left_anti")
-    row = F.struct(*users.columns)
-    first = added.groupBy("email").agg(F.min_by(row, F.col("user_id")).alias("u")).select("u.*")
-    return updated.unionByName(first)
+    added = accepted.join(users.select("user_id"), "user_id", "left_anti").select(*users.columns)
+    return updated.unionByName(added)
 
 
 def with_changes(df: DataFrame, changes: dict[str, Column]) -> DataFrame:

@@ -6,6 +6,7 @@ executor or driver resumes from the last committed batch."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -51,33 +52,73 @@ def first_readings(readings: DataFrame, delay: str = "10 minutes", time: str = "
 
 
 def last_used(requests: DataFrame) -> DataFrame:
-    """Running last-use time per key, in update mode."""
+    """Last-use time per key."""
     return requests.groupBy("key_id").agg(F.max("ts").alias("last_used_at"))
 
 
 def keep_last_used(requests: DataFrame, path: str) -> None:
-    """Drain ``requests`` and keep one file set per batch of the keys it touched; :func:`read_last_used` merges them."""
+    """Drain ``requests`` (key_id, ts) into snapshots of the last use per key. Every batch merges itself into the snapshot of
+    the batch before and writes a new one, so the stream keeps no state of its own; only two snapshots stay. A batch that
+    is run again after a failure overwrites its own snapshot."""
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        now = last_used(batch)
+        if batch_id > 0:
+            now = now.unionByName(spark.read.schema(now.schema).parquet(f"{path}/snapshot={batch_id - 1}"))
+        now.groupBy("key_id").agg(F.max("last_used_at").alias("last_used_at")).write.mode("overwrite").parquet(
+            f"{path}/snapshot={batch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     query = (
-        last_used(requests).writeStream.outputMode("update").foreachBatch(save)
+        requests.writeStream.foreachBatch(save)
         .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
 def read_last_used(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("key_id").agg(F.max("last_used_at").alias("last_used_at"))
+    """The newest snapshot of :func:`keep_last_used`."""
+    kept = spark.read.parquet(path)
+    newest = kept.agg(F.max("snapshot")).scalar()
+    return kept.filter(F.col("snapshot") == newest).select("key_id", "last_used_at")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available now into Parquet files and return them as a table."""
+#: Event time of end markers, later than any event.
+END = "2999-01-01 00:00:00"
+
+
+def with_end(stream: DataFrame, time: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with a second source that is empty until the returned function is called, which puts one row at ``END``
+    there, all its other columns NULL. It moves the watermark past every event, so the last windows close; its own window
+    never does, but a join may give the marker out, with its NULL keys."""
+    spark, schema = stream.sparkSession, stream.schema
+    path = f"{checkpoint_root(spark)}/cotejo-end-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+
+    def release() -> None:
+        row = [F.lit(END if f.name == time else None).cast(f.dataType).alias(f.name) for f in schema]
+        spark.range(1).select(*row).write.mode("append").parquet(path)
+
+    return stream.unionByName(spark.readStream.schema(schema).parquet(path)), release
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", ends: tuple[Callable[[], None], ...] = ()) -> DataFrame:
+    """Run a stream over everything available now into Parquet files and return them as a table. With ``ends`` (from
+    :func:`with_end`) the end markers follow once all events are in."""
     spark = stream.sparkSession
     path = f"{checkpoint_root(spark)}/cotejo-stream-{name}-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", path)
-        .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode).option("path", path)
+            .option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+
+    run()
+    if ends:
+        for end in ends:
+            end()
+        run()
     return spark.read.schema(stream.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cotejo.operators import layout, matching, pairing
 from cotejo.operators.reconcile import dedupe_best, dense_position
-from cotejo.params import LayoutParams
+from cotejo.params import LayoutParams, VoteParams
 from cotejo.plans import digit_ensemble
 
 LIST = "form_id bigint, pos bigint, {s}_id string, {s}_conf double, {s}_digits array<double>"
@@ -23,7 +23,7 @@ def number(rng, alphabet="0123456789", n=6):
     return "".join(rng.choice(alphabet) for _ in range(n))
 
 
-def brute_pairs(a, b):
+def brute_pairs(a, b, window=2):
     """[(i, j, how)] by the positional rule, one list at a time."""
     used, out = set(), []
     for i in range(min(len(a), len(b))):
@@ -31,7 +31,7 @@ def brute_pairs(a, b):
             used.add(i)
             out.append((i, i, "positional"))
             continue
-        options = [(-ratio(a[i], b[j]), j) for j in range(max(0, i - 2), min(len(b), i + 3)) if j not in used]
+        options = [(-ratio(a[i], b[j]), j) for j in range(max(0, i - window), min(len(b), i + window + 1)) if j not in used]
         options = [o for o in options if o[0] < 0]
         j, how = (min(options)[1], "repaired") if options else (i, "forced")
         used.add(j)
@@ -75,10 +75,17 @@ def test_one_side_only_gives_nothing_unless_the_gap_is_large(spark):
 def test_dense_position_over_chunks(spark):
     rows = [(1, s, str(s)) for s in range(0, 100, 3)] + [(2, 7, "x"), (2, 9, "y")]
     raw = spark.createDataFrame(rows, "form_id bigint, ord bigint, id_number string")
-    got = dense_position(raw, raw, chunk=8).orderBy("form_id", "ord").collect()
+    got = dense_position(raw, chunk=8).orderBy("form_id", "ord").collect()
     assert [r["pos"] for r in got] == [*range(34), 0, 1]
 
 
+def test_dense_position_puts_an_empty_slot_first(spark):
+    rows = [(1, None, "n"), (1, 0, "a"), (1, 3, "b"), (1, 20, "c")]
+    raw = spark.createDataFrame(rows, "form_id bigint, ord bigint, id_number string")
+    for chunk in (8, 4096):
+        assert {r["id_number"]: r["pos"] for r in dense_position(raw, chunk=chunk).collect()} == {"n": 0, "a": 1, "b": 2, "c": 3}
+
+
 def test_dedupe_keeps_best_in_first_slot(spark):
     rows = [(1, "a", 0, 0.5, "p"), (1, "b", 1, 0.9, "q"), (1, "a", 2, 0.8, "r"), (1, "b", 3, 0.9, "s")]
     df = spark.createDataFrame(rows, "form_id int, id_number string, ord int, confidence double, tag string")
@@ -188,3 +195,37 @@ def test_partitioning_does_not_matter(spark):
     def run(x, y):
         return sorted(map(tuple, pairing.pair_readings(x, y).select("form_id", "pos", "b_pos", "how").collect()))
     assert run(a, b) == run(a.repartition(7, F.rand(1)), b.orderBy(F.desc("b_id")))
+
+
+@pytest.mark.parametrize("window", [0, 1, 3, 4])
+def test_other_repair_windows_equal_brute_force(spark, window):
+    rng = random.Random(window)
+    forms = {f: tuple([number(rng, rng.choice(["012", "345", "6789"]), 4) for _ in range(rng.randint(0, 30))]
+                      for _ in range(2)) for f in range(20)}
+    p = VoteParams(repair_window=window)
+    got = pairing.pair_readings(*lists(spark, forms), p, chunk=4).select("form_id", "pos", "b_pos", "how").collect()
+    assert {tuple(r) for r in got} == {(f, *q) for f, (a, b) in forms.items() for q in brute_pairs(a, b, window)}
+
+
+def test_too_wide_a_window_is_refused(spark):
+    with pytest.raises(ValueError):
+        pairing.pair_readings(*lists(spark, {0: (["1"], ["2"])}), VoteParams(repair_window=9))
+
+
+@pytest.mark.parametrize("limit", [1, 2000])
+def test_a_name_without_a_place_is_no_option(spark, limit):
+    box = "form_id bigint, {k} bigint, text string, x double, y double, w double, h double, confidence double"
+    names = spark.createDataFrame([(1, 1, "ANA", None, 10.0, 5.0, 5.0, .9), (1, 2, "EVA", 90.0, 10.0, 5.0, 5.0, .9)],
+                                  box.format(k="cluster"))
+    ids = spark.createDataFrame([(1, 1, "123456", 10.0, 10.0, 5.0, 5.0, .9)], box.format(k="ord"))
+    got = matching.pair_by_proximity(names, ids, limit=limit).collect()
+    assert [(r["name"], r["id_number"]) for r in got] == [("EVA", "123456")]
+
+
+def test_rows_beyond_the_expected_ones_stay(spark):
+    rows = spark.createDataFrame([(1, 17, "ANA", "123456", False)],
+                                 "form_id bigint, row_index int, names string, id_number string, is_empty boolean")
+    forms = spark.createDataFrame([(1,)], "form_id bigint")
+    for expected in (15, 20):
+        got = layout.densify_rows(rows, forms, LayoutParams(expected_rows=expected)).collect()
+        assert {r["row_index"]: r["names"] for r in got} == {**{i: "" for i in range(expected)}, 17: "ANA"}

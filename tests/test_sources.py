@@ -1,6 +1,7 @@
 """Response scans from JSON, record output, table changes, long digit streams."""
 
 import json
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -62,19 +63,19 @@ def test_keys_with_an_unknown_or_no_scope_are_refused(spark):
     assert [r["key_id"] for r in rows.collect()] == [1] and [tuple(r) for r in links.collect()] == [(1, 1)]
 
 
-def test_long_stream_equals_short_lookup(spark, monkeypatch):
+def test_stream_lookup_finds_identifiers_of_any_length(spark, monkeypatch):
     rng = random.Random(4)
     texts = ["".join(rng.choice("012") for _ in range(rng.randint(1, 9))) for _ in range(200)]
     symbols = [(t, round(rng.random(), 3)) for t in texts]
     stream = "".join(texts)
     confs = [c for t, c in symbols for _ in t]
-    ids = [stream[i:i + k] for i, k in ((0, 3), (40, 11), (len(stream) - 5, 5), (500, 9), (511, 10))] + ["9999", "2222222222"]
+    ids = [stream[i:i + k] for i, k in ((0, 3), (40, 11), (len(stream) - 5, 5), (500, 9), (511, 10), (3, 1), (70, 2), (90, 12), (60, 80))]
+    ids = list(dict.fromkeys(ids + ["9999", "2222222222"]))
     streams = spark.createDataFrame([(1, symbols)], "form_id bigint, symbols array<struct<text:string,confidence:double>>")
     df = spark.createDataFrame([(1, i) for i in ids] + [(2, "123")], "form_id bigint, id_number string")
     def run():
         return {(r["form_id"], r["id_number"]): (r["found"], r["digit_conf"]) for r in layout.map_digit_confidences(df, streams).collect()}
     short = run()
-    monkeypatch.setattr(layout, "LONG_STREAM", 100)
     monkeypatch.setattr(layout, "BLOCK", 64)
     assert run() == short
     for i in ids:
@@ -88,3 +89,28 @@ def test_long_stream_equals_short_lookup(spark, monkeypatch):
 def test_staged_tables_can_be_discarded(spark):
     assert staged(spark.range(3), "t").count() == 3
     assert discard_staged(spark) >= 1
+
+
+def test_key_changes_write_nulls_when_told_and_fold_repeats(spark):
+    kinds = "key_id bigint, is_active boolean, last_used_at timestamp_ntz, revoked_at timestamp_ntz"
+    day = [dt.datetime(2024, 1, d) for d in range(1, 5)]
+    keys = spark.createDataFrame([(1, True, day[0], None), (2, True, day[0], day[0]), (3, True, None, None)], kinds)
+    changes = spark.createDataFrame(
+        [(1, None, day[1], None, False), (1, False, day[3], None, False), (2, None, None, None, True)],
+        kinds + ", set_revoked_at boolean")
+    got = {r["key_id"]: tuple(r)[1:] for r in sinks.apply_key_changes(keys, changes).collect()}
+    assert got == {1: (False, day[3], None), 2: (True, day[0], None), 3: (True, None, None)}
+
+
+def test_upserts_name_what_they_refuse(spark):
+    kinds = "user_id bigint, email string, is_active boolean, created_at timestamp_ntz"
+    users = spark.createDataFrame([(1, "a@b.com", True, None), (2, "c@d.com", True, None)], kinds)
+    incoming = spark.createDataFrame(
+        [(1, "broken", False, None), (2, "A@B.com", False, None), (2, "x@y.com", False, None), (3, "n@n.com", True, None),
+         (4, "n@n.com", True, None)], kinds)
+    accepted, refused = sinks.split_upserts(users, incoming)
+    assert {(r["user_id"], r["reason"]) for r in refused.collect()} == {
+        (1, "malformed"), (2, "taken"), (2, "repeated"), (4, "taken")}
+    assert [r["user_id"] for r in accepted.collect()] == [3]
+    after = sinks.upsert_users(users, incoming).collect()
+    assert sorted((r["user_id"], r["email"]) for r in after) == [(1, "a@b.com"), (2, "c@d.com"), (3, "n@n.com")]
