@@ -8,8 +8,9 @@ shingle alone brings nobody together; two sets with a Jaccard similarity of 0.8
 Links are found in two rounds, so that a group of copies never gives all its pairs:
 
 1. In each list, every class meets the list's most connected one. Union sketches filter, full sets confirm.
-2. Lists whose classes are not in one component yet compare the classes outside the largest component with the others
-   block by block; a task reports no pair whose ends are already connected.
+2. Lists with the same first value and the same most connected class are joined into one, and of lists with the same
+   members one is kept. Those whose classes are not in one component yet compare the classes outside the largest component
+   with the others block by block; a task reports no pair whose ends are already connected.
 
 Components of the confirmed links are the result.
 """
@@ -33,8 +34,9 @@ ANCHORS = 10
 STEPS = ((1, 1), (1, 2), (2, 1), (2, 2))
 SKETCH = 64
 #: Values that round 2 compares; sets up to this size are compared whole.
-WIDE_SKETCH = 256
+WIDE_SKETCH = 512
 BLOCK = 512
+_LOW = np.uint64(0xFFFFFFFF)
 _CODES = np.random.default_rng(8).integers(1, 2**63 - 1, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -48,16 +50,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[
 
 
 def list_keys(values: np.ndarray) -> np.ndarray:
-    """Keys of the inverted lists of one sketch. Sets of up to three values have none: at 0.8 they link to equal sets
-    only."""
+    """Keys of the inverted lists of one sketch: the first value's high half over a hash of all three. Sets of up to three
+    values have none: at 0.8 they link to equal sets only."""
     values = values[:ANCHORS + 4]
     out = []
     if len(values) > 3:
         for one, two in STEPS:
             n = min(ANCHORS, len(values) - one - two)
             if n > 0:
-                out.append(mix(values[:n] * _CODES[0] + values[one:n + one] * _CODES[1]
-                               + values[one + two:n + one + two] * _CODES[2]))
+                three = mix(values[:n] * _CODES[0] + values[one:n + one] * _CODES[1]
+                            + values[one + two:n + one + two] * _CODES[2])
+                out.append((mix(values[:n]) & ~_LOW) | (three & _LOW))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -272,7 +275,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     first = staged(_confirmed(spokes, sets, percent), "near-links")
     labels = components(first)
-    lists = postings.join(labels, postings.cls == labels.node, "left").select(
+    wide = postings.join(centre, "key").select(
+        F.xxhash64("b", F.shiftrightunsigned("key", 32)).alias("key"), "cls").distinct()
+    same = wide.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[F.sum(F.shiftright(F.xxhash64("cls", F.lit(i)), 24))
+                                                                  .alias(f"sum{i}") for i in range(2)])
+    one = same.groupBy("m", "sum0", "sum1").agg(F.min("key").alias("key")).select("key")
+    lists = wide.join(one, "key").join(labels, F.col("cls") == F.col("node"), "left").select(
         "key", "cls", F.coalesce("root", "cls").alias("root"))
     second = staged(_second_round(lists, sets, percent), "near-second")
     doubtful = _confirmed(second.filter("NOT certain").select("a", "b"), sets, percent)
