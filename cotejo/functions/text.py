@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from cotejo.functions import sequences
+
 # Letters a recogniser writes where the form has a digit.
 CONFUSABLE_LETTERS = "lI|OoSsBZzG"
 CONFUSABLE_DIGITS = "11100558226"
@@ -151,13 +151,13 @@ def full_name(*parts: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    matcher = difflib.SequenceMatcher
-    return pd.Series([matcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    found = sequences.ratios([None if x is None else x for x in a], [None if y is None else y for y in b])
+    return pd.Series(found).astype(object).where(~pd.isna(found), None)
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity 2M / (len a + len b). There is no built-in for it, so it runs as one Arrow
-    function; callers filter with cheaper predicates first."""
+    """Ratcliff-Obershelp similarity 2M / (len a + len b), NULL for a NULL. There is no built-in for it, so it runs as one
+    Arrow function over distinct pairs of a batch; callers filter with cheaper predicates first."""
     return _matcher_ratio(a, b)
 
 

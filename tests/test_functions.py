@@ -1,11 +1,12 @@
 """Literal expectations for the column functions."""
 
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.functions import account, geometry, ident, text as tx
+from cotejo.functions import account, geometry, ident, sequences, text as tx
 
 
 def one(spark, column):
@@ -132,3 +133,22 @@ def test_match_summary(spark):
     m = F.array(F.struct(F.lit("first_name").alias("field_name"), F.lit(True).alias("match"), F.lit(0.9).alias("similarity"), F.lit("Ana").alias("compared")))
     assert one(spark, account.match_summary(m)) == "✓ first_name: Ana (90%)"
     assert one(spark, account.match_summary(F.slice(m, 1, 0))) == "Sin comparaciones disponibles"
+
+
+def test_sequence_ratio_equals_difflib():
+    rng = random.Random(11)
+    def text(alphabet, n):
+        return "".join(rng.choice(alphabet) for _ in range(rng.randint(0, n)))
+    a, b = [], []
+    for alphabet, n in (("01", 11), ("0123456789", 11), ("abé漢 ", 40), ("a", 6)):
+        a += [text(alphabet, n) for _ in range(400)]
+        b += [text(alphabet, n) for _ in range(400)]
+    want = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
+    assert sequences.ratios(a, b, batch=97).tolist() == want
+    bound = sequences.common_bound(a[:60], b[:60])
+    assert all(bound[i, i] >= want[i] for i in range(60))
+
+
+def test_sequence_ratio_of_null(spark):
+    df = spark.createDataFrame([("12", None), (None, "3"), (None, None), ("", ""), ("12", "21")], "a string, b string")
+    assert [r[0] for r in df.select(tx.sequence_ratio(F.col("a"), F.col("b"))).collect()] == [None, None, None, 1.0, 0.5]
