@@ -18,9 +18,15 @@ def keys_with_scopes(keys: DataFrame, key_scopes: DataFrame, catalog: DataFrame)
     return keys.join(held, "key_id", "left").withColumn("scopes", F.coalesce("scopes", none))
 
 
+def find_keys(keys: DataFrame, probes: DataFrame, column: str) -> DataFrame:
+    """The keys whose ``column`` (id, user or hash) is in ``probes`` (``probe``), one row for each; scopes come along."""
+    return probes.join(keys.withColumn("probe", F.col(column)), "probe")
+
+
 def authorize(requests: DataFrame, keys: DataFrame, as_of: Column) -> DataFrame:
     """Requests (request_id, key, required, ts) with their ``status``: BAD_FORMAT, NOT_FOUND, INVALID (revoked, inactive
-    or expired), FORBIDDEN (a required scope is not held) or OK. ``keys`` carries its scope array, so one join decides."""
+    or expired), FORBIDDEN (a required scope is not held) or OK. ``keys`` carries its scope array, so one join decides.
+    Malformed keys have no hash; they spread over as many places as there are requests of them, none of which is a key's."""
     hashed = requests.withColumn("key_hash", F.when(account.is_key_format(F.col("key")), account.key_hash(F.col("key"))))
     known = keys.select("key_hash", "key_id", "is_active", "revoked_at", "expires_at", "scopes")
     met = F.forall("required", lambda r: F.exists("scopes", lambda s: account.scope_satisfies(s, r)))
@@ -29,7 +35,8 @@ def authorize(requests: DataFrame, keys: DataFrame, as_of: Column) -> DataFrame:
         F.when(F.col("key_hash").isNull(), "BAD_FORMAT").when(F.col("key_id").isNull(), "NOT_FOUND")
         .when(~valid, "INVALID").when(~met, "FORBIDDEN").otherwise("OK")
     )
-    joined = hashed.join(known, "key_hash", "left")
+    spot = F.coalesce("key_hash", F.concat(F.lit("-"), F.col("request_id").cast("string")))
+    joined = hashed.withColumn("spot", spot).join(known.withColumnRenamed("key_hash", "spot"), "spot", "left")
     return joined.select("request_id", "key_id", "ts", status.alias("status"))
 
 
