@@ -89,10 +89,10 @@ def contexts(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     """Rank of every suffix by its first ``length`` bytes, equal prefixes sharing a rank; prefix doubling from 8 bytes.
     Only suffixes with at least ``length`` bytes before the end of ``data`` are ranked."""
-    padded = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
-    words = np.zeros(len(data), np.uint64)
+    starts = len(data) - 7
+    words = np.zeros(starts, np.uint64)
     for k in range(8):
-        words = (words << np.uint64(8)) | padded[k:k + len(data)]
+        words = (words << np.uint64(8)) | data[k:k + starts].astype(np.uint64)
     rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
     known = 8
     while known < length:

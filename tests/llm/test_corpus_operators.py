@@ -370,7 +370,7 @@ def test_mix_meets_its_targets(spark, monkeypatch):
 
 def test_noise_is_drawn_later(spark):
     rows = [(i, "word " * 20 + ("*** " * 20 if i % 2 else "word " * 20), "ab"[i % 4 // 2]) for i in range(800)]
-    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), share=.5).collect()
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), share=.5, cycle=(1.0,)).collect()
     plain, noisy = (sum(r.taken for r in got if r.doc_id % 2 == k) for k in (0, 1))
     assert plain > 3 * noisy
 
