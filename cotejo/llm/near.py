@@ -33,6 +33,8 @@ from cotejo.plans.staging import staged
 ANCHORS = 10
 STEPS = ((1, 1), (1, 2), (2, 1), (2, 2))
 SKETCH = 64
+#: Rows of two longs that are broadcast at most; a longer list of candidates is joined by shuffling.
+BROADCAST_ROWS = 500_000
 #: Values that round 2 compares; sets up to this size are compared whole.
 WIDE_SKETCH = 512
 BLOCK = 512
@@ -270,6 +272,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     wanted = (rows.join(postings.select("cls").distinct(), "cls").groupBy("cls")
               .agg(F.min(F.struct("text_hash", "doc_id")).alias("one")))
     wanted = staged(wanted.select(F.col("one.text_hash").alias("h"), F.col("one.doc_id").alias("d")), "near-wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     chosen = texts.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     sets = staged(_full_sets(chosen, words).dropDuplicates(["cls"]), "near-sets")
 
