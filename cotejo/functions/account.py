@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Formats of keys, scopes and e-mail addresses.
 KEY_PATTERN = "^vfy_[A-Za-z0-9_-]{64}$"
 SCOPE_PATTERN = "^[a-z][a-z_]*[a-z]:[a-z][a-z_]*[a-z]$|^[a-z]:[a-z]$"
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
