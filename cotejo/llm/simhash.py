@@ -8,6 +8,8 @@ with more blocks than differing bits, one block is equal.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cotejo.plans.staging import staged
@@ -23,12 +25,19 @@ RADIUS = 3
 BLOCKS = 4
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def terms(text: Column) -> Column:
     """Hashes of the pairs of neighbouring words; of a single word alone; of the empty string without words."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words)
-    pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
-    return F.when(n > 1, F.slice(pairs, 1, n - 1)).when(n == 1, pairs).otherwise(F.array(F.xxhash64(F.lit(""))))
+    def paired(words: Column) -> Column:
+        pairs = F.transform(F.slice(words, 1, F.greatest(F.lit(1), F.size(words) - 1)),
+                            lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+        return F.when(F.size(words) > 0, pairs).otherwise(F.array(F.xxhash64(F.lit(""))))
+
+    return bound(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), paired)
 
 
 def fingerprints(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
@@ -45,24 +54,26 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFram
             for w in range(2) for s in range(16)]
     counted = votes.groupBy(*keys, "kind", "chunk").agg(F.count(F.lit(1)).alias("n"), *sums)
     # Bit i of word w: lane i / 16 of the sum with shift i % 16.
+    def opened(sums: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function(
+            "shiftrightunsigned", F.get(sums, F.floor(i / 64).cast("int") * 16 + i % 16),
+            (F.floor((i % 64) / 16) * 16).cast("int")).bitwiseAND(F.lit(0xFFFF)))
+
     lanes = F.array(*[f"s{w}_{s}" for w in range(2) for s in range(16)])
-    opened = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function(
-        "shiftrightunsigned", F.get(F.col("lanes"), F.floor(i / 64).cast("int") * 16 + i % 16),
-        (F.floor((i % 64) / 16) * 16).cast("int")).bitwiseAND(F.lit(0xFFFF)))
-    parts = counted.select(*keys, "kind", "n", lanes.alias("lanes")).withColumn("votes", opened)
+    parts = counted.select(*keys, "kind", "n", bound(lanes, opened).alias("votes"))
     total = parts.groupBy(*keys, "kind").agg(F.sum("n").alias("n"), F.collect_list("votes").alias("votes"))
     first = F.get("votes", F.lit(0))
     added = F.when(F.size("votes") == 1, first).otherwise(F.aggregate(
         F.slice("votes", 2, F.greatest(F.size("votes") - 1, F.lit(0))), first,
         lambda a, b: F.zip_with(a, b, lambda x, y: x + y)))
-    bits = F.transform(added, lambda v: F.when(v * 2 > F.col("n"), 1).otherwise(0).cast("long"))
 
-    def word(w: int) -> Column:
-        return F.aggregate(F.slice("bits", 64 * w + 1, 64), F.lit(0).cast("long"),
-                           lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    def word(votes: Column, w: int) -> Column:
+        return F.aggregate(F.slice(votes, 64 * w + 1, 64), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 1).bitwiseOR(
+            F.when(v * 2 > F.col("n"), 1).otherwise(0).cast("long")))
 
-    voted = total.select(*keys, "kind", bits.alias("bits")).select(
-        *keys, "kind", word(0).alias("f0"), word(1).alias("f1"))
+    both = bound(added, lambda votes: F.array(word(votes, 0), word(votes, 1)))
+    voted = total.select(*keys, "kind", both.alias("f")).select(
+        *keys, "kind", F.get("f", F.lit(0)).alias("f0"), F.get("f", F.lit(1)).alias("f1"))
     return voted.groupBy(*keys).agg(*[
         F.max(F.when(F.col("kind") == k, F.col(f"f{w}"))).alias(f"{c}_{w}") for k, c in enumerate(texts) for w in range(2)])
 
