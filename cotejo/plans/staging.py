@@ -21,11 +21,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard_staged(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process wrote, once their results have been stored."""
+def written() -> list[str]:
+    """Paths of the intermediate tables this process wrote and has not deleted."""
+    return list(_WRITTEN)
+
+
+def discard_staged(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete intermediate tables, by default all that this process wrote, once their results have been stored."""
     gone = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in written() if paths is None else paths:
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         gone += bool(fs.delete(path, True))
     return gone
