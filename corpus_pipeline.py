@@ -3,36 +3,53 @@ before it kept, as a Parquet table, and returns the columns of ``documents``; th
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cotejo.llm import bpe, mixing, near, suffix, toxicity
-from cotejo.plans.staging import discard_staged
+from cotejo.plans.staging import discard_staged, written
 from cotejo.session import checkpoint_root
 
 #: Bytes from which on a passage counts as repeated here; passages of 50 words are a little longer.
 PASSAGE = 240
 
 
+_LEFT: list[str] = []
+
+
+def stage(function):
+    """When a stage starts, the one before has been written, so the intermediate tables that it left can go."""
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard_staged(spark, _LEFT)
+        before = set(written())
+        out = function(spark, docs, sf_dir)
+        _LEFT[:] = [path for path in written() if path not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject. It learns from the table ``labels``."""
-    discard_staged(spark)
     return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates. Rows that repeat an id stay together, and a null
     id stays only where it is alone in its group."""
-    discard_staged(spark)
     kept = near.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
+@stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur earlier in the corpus; ``n_chars`` follows. No row goes, even if its text does."""
-    discard_staged(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     done = suffix.dedup_passages(docs, PASSAGE, keep_first=True, keep_text=True, columns=others)
     done = done.withColumnRenamed("kept", "text")
@@ -41,15 +58,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return done.select(docs.columns)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; a document appears as often as the mix takes it."""
-    discard_staged(spark)
     return mixing.mixed_documents(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text they decode to."""
-    discard_staged(spark)
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -61,9 +78,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written to the shared folder before the next one starts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
+    for number, (name, function) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        function(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 
