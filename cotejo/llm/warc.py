@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cotejo.llm.textops import small_batches
-from cotejo.plans.staging import checkpoint_root
+from cotejo.plans.staging import checkpoint_root, staged
 
 #: Fixed values of the format: skippable frame with a dictionary, an empty skippable frame, a frame of data.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -112,7 +112,8 @@ def marked_pages(pages: DataFrame) -> DataFrame:
     first = long.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = (long.join(first.drop("n"), "digest").filter("first IS NOT NULL AND NOT page_id <=> first")
               .groupBy("page_id", "digest").agg(F.max("first").alias("refers_to")))
-    copies = copies.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
+    # Written first, so that Spark knows its size: the pages are only dealt anew for it if it is large.
+    copies = staged(copies.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to"), "warc-copies")
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.sha2("payload", 256)))
     joined = rows.join(copies, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     return joined.select("page_id", "url", "payload", F.col("_digest").isNotNull().alias("is_revisit"), "refers_to")
