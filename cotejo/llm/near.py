@@ -38,6 +38,7 @@ BROADCAST_ROWS = 500_000
 #: Values that round 2 compares; sets up to this size are compared whole.
 WIDE_SKETCH = 512
 BLOCK = 512
+COLUMNS = 4096
 _LOW = np.uint64(0xFFFFFFFF)
 _CODES = np.random.default_rng(8).integers(1, 2**63 - 1, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -137,15 +138,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined(near, F.col("full")).mapInArrow(check(None), "a binary, b binary")
 
 
+def _common(values: list[np.ndarray], left: np.ndarray) -> np.ndarray:
+    """Number of values that each row of ``left`` shares with each row, by products of ``COLUMNS`` values at a time. Values
+    of a single row are shared with nobody but itself."""
+    length = np.array([len(v) for v in values])
+    _, ids, often = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(values)), length)
+    shared = often[ids] > 1
+    place = np.cumsum(often > 1) - 1
+    row, column = row[shared], place[ids[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(values)), np.int64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, COLUMNS):
+        low, high = np.searchsorted(column, (at, at + COLUMNS))
+        dense = np.zeros((len(values), min(COLUMNS, width - at)), np.float32)
+        dense[row[low:high], column[low:high] - at] = 1
+        common += (dense[left] @ dense.T).astype(np.int64)
+    return common
+
+
 def _compare_group(roots: list[bytes], minor: np.ndarray, self_too: bool, values: list[np.ndarray], sizes: np.ndarray,
                    percent: int) -> list[tuple[int, int, bool]]:
     """Pairs of one block: (row, row, certain). Certain links only as far as they connect something."""
-    ids = np.unique(np.concatenate(values), return_inverse=True)[1]
     length = np.array([len(v) for v in values])
-    dense = np.zeros((len(values), int(ids.max()) + 1), np.float32)
-    dense[np.repeat(np.arange(len(values)), length), ids] = 1
     left = np.flatnonzero(minor)
-    common = (dense[left] @ dense.T).astype(np.int64)
+    common = _common(values, left)
     whole = length == sizes
     top = np.array([np.uint64(2**64 - 1) if w else v[-1] for v, w in zip(values, whole)], np.uint64)
     union = np.zeros_like(common)
