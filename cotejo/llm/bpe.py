@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from cotejo.llm.textops import slices, small_batches, text_bytes, word_hashes
 
 #: Transitions kept before the automaton starts afresh; one slice adds at most one per byte.
-TRANSITIONS = 1_500_000
+TRANSITIONS = 600_000
 #: Distinct pieces whose ids are remembered before the memory is emptied.
-PIECES = 1_000_000
+PIECES = 500_000
 ENCODE_SLICE = 4 << 20
 
 
