@@ -85,6 +85,16 @@ def test_second_round_links_what_the_first_cannot(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 4)
 
 
+@pytest.mark.parametrize("nested", [True, False])
+def test_pairs_at_the_threshold_share_a_list(nested):
+    """Sets of which one holds the other (a passage was added), and sets with values of their own, at 0.8 exactly."""
+    rng = np.random.default_rng(3)
+    for _ in range(10_000):
+        union = rng.integers(0, 2**64, 400, np.uint64)
+        a, b = (union[:320], union) if nested else (union[:360], np.append(union[:320], union[360:]))
+        assert len(np.intersect1d(near.list_keys(np.sort(a)), near.list_keys(np.sort(b)), assume_unique=True))
+
+
 def test_near_duplicates_of_nothing_and_bad_threshold(spark):
     empty = spark.createDataFrame([], DOCS)
     assert near.near_duplicates(empty).count() == 0
