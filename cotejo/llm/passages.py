@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends with a word that ends in ``.``, ``!`` or ``?``, or at a line break. The span of a sentence is the shortest
-run from it on that has at least ``SENTENCES`` sentences and ``WORDS`` words, or ``LONG_WORDS`` words however few its
-sentences. Spans meet in Spark by a 128-bit hash of their words; sentences in any occurrence but the first are removed.
+A sentence ends with a word that ends in ``.``, ``!`` or ``?``, or at a line break. Spans are all runs of ``SENTENCES``
+sentences, however short, and single sentences of ``LONG_WORDS`` words; so a repeated passage is covered to its last
+sentence. The shorter rule takes for each sentence the shortest run from it on that has at least ``SENTENCES`` sentences and
+``WORDS`` words, or ``LONG_WORDS`` words however few its sentences. Spans meet in Spark by a 128-bit hash of their words;
+sentences in any occurrence but the first are removed.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def sentence_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return starts, ends, first, np.diff(np.searchsorted(first, row_first))
 
 
-def sentence_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def sentence_spans(data: np.ndarray, offsets: np.ndarray, every_run: bool = False) -> tuple[np.ndarray, ...]:
     """Row, sentence (within its row), length in sentences and two hashes of every span."""
     starts, ends, first, sentences = sentence_starts(data, offsets)
     if not len(first):
@@ -51,11 +53,15 @@ def sentence_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, .
     word_bounds = np.append(first, len(starts))
     row_end = np.repeat(np.cumsum(sentences), sentences)
     at = np.arange(len(first))
-    usual = np.maximum(at + SENTENCES, np.searchsorted(word_bounds, word_bounds[:-1] + WORDS))
-    long = np.searchsorted(word_bounds, word_bounds[:-1] + LONG_WORDS)
-    stop = np.minimum(usual, long)
-    whole = np.flatnonzero(stop <= row_end)
-    low, high = word_bounds[whole], word_bounds[stop[whole]]
+    if every_run:
+        runs, long = np.flatnonzero(at + SENTENCES <= row_end), np.flatnonzero(np.diff(word_bounds) >= LONG_WORDS)
+        whole, stop = np.append(runs, long), np.append(runs + SENTENCES, long + 1)
+    else:
+        usual = np.maximum(at + SENTENCES, np.searchsorted(word_bounds, word_bounds[:-1] + WORDS))
+        stop = np.minimum(usual, np.searchsorted(word_bounds, word_bounds[:-1] + LONG_WORDS))
+        whole = np.flatnonzero(stop <= row_end)
+        stop = stop[whole]
+    low, high = word_bounds[whole], word_bounds[stop]
     values = []
     for step, back in zip(_STEP, _BACK):
         forward, backward = (np.cumprod(np.append(np.uint64(1), np.full(len(hashes), m, np.uint64))) for m in (step, back))
@@ -63,14 +69,14 @@ def sentence_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, .
         values.append(mix((sums[high] - sums[low]) * backward[low] + (high - low).astype(np.uint64)).view(np.int64))
     row = np.repeat(np.arange(len(sentences)), sentences)[whole]
     within = whole - (np.cumsum(sentences) - sentences)[row]
-    return row, within, stop[whole] - whole, values[0], values[1]
+    return row, within, stop - whole, values[0], values[1]
 
 
-def _spans(texts: DataFrame) -> DataFrame:
+def _spans(texts: DataFrame, every_run: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                row, within, n, one, two = sentence_spans(*text_bytes(part.column("text")))
+                row, within, n, one, two = sentence_spans(*text_bytes(part.column("text")), every_run)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(at), part.column("text_hash").take(at), pa.array(within, pa.int32()),
@@ -81,9 +87,10 @@ def _spans(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, text_hash bigint, at int, n int, one bigint, two bigint")
 
 
-def dedup_sentences(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def dedup_sentences(docs: DataFrame, keep_text: bool = False, every_run: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_sentences, n_removed`` (sentences), ``removed_bytes``, ``kept_sha256``
-    and, if asked, ``kept``.
+    and, if asked, ``kept``. ``every_run`` takes all runs as spans; without it the shorter rule holds, which leaves the last
+    sentences of a repeated passage and repeated runs of under ``WORDS`` words.
 
     The first occurrence of a span is the one with the smallest doc_id (null last), then the smaller text digest, then the
     earlier place. A removed sentence takes the white space behind it along. Null and empty texts, and texts too short
@@ -93,7 +100,7 @@ def dedup_sentences(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
-    spans = staged(_spans(texts), "spans")
+    spans = staged(_spans(texts, every_run), "spans")
     shared = spans.groupBy("one", "two").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     met = staged(spans.join(shared, ["one", "two"]), "spans-met")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "at")

@@ -29,7 +29,7 @@ def op3_bpe(spark, sf_dir):
 
 
 def op4_sentences(spark, sf_dir):
-    return passages.dedup_sentences(table(spark, sf_dir, "documents"))
+    return passages.dedup_sentences(table(spark, sf_dir, "documents"), every_run=True)
 
 
 def op5_warc(spark, sf_dir):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.llm import mixing, near, neighbours, passages, simhash, suffix
+from cotejo.llm import mixing, near, neighbours, passages, queries, simhash, suffix
 from cotejo.llm.graph import components
 from tests import oracle
 
@@ -216,6 +216,23 @@ def test_sentences_equal_brute_force(spark):
     assert any(gone.values()) and passages.dedup_sentences(df.limit(0)).count() == 0
 
 
+def test_every_repeated_run_goes_to_its_last_sentence(spark, tmp_path):
+    def sentence(name, n):
+        return " ".join(f"{name}{i}" for i in range(n)) + "."
+    passage = " ".join(sentence(f"p{n}x", n) for n in (19, 10, 3))
+    short = "Just so. Not quite."
+    rows = [(k, f"{sentence(f'a{k}x', 15)} {passage} {sentence(f'b{k}x', 15)} {short} {sentence(f'c{k}x', 15)}", "s")
+            for k in range(3)]
+    rows += [(k, f"{sentence('long', 40)} {sentence(f'd{k}x', 5)}", "s") for k in (3, 4)]
+    rows.append((5, "Not quite. Just so.", "s"))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_sentences(spark, str(tmp_path)).collect()}
+    assert {k: (r.n_sentences, r.n_removed) for k, r in got.items()} == {
+        0: (8, 0), 1: (8, 5), 2: (8, 5), 3: (2, 0), 4: (2, 1), 5: (2, 0)}
+    left = f"{sentence('a1x', 15)} {sentence('b1x', 15)} {sentence('c1x', 15)}"
+    assert got[1].kept_sha256 == hashlib.sha256(left.encode()).hexdigest()
+
+
 # --- fingerprints ----------------------------------------------------------------------------------------------------------
 def edited(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
