@@ -23,7 +23,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cotejo.llm.graph import components
 from cotejo.llm.textops import mix, row_shingles, slices, small_batches, text_bytes, word_hashes, word_spans
@@ -264,6 +264,10 @@ def _pairs(found: list[tuple[bytes, bytes, bool]]) -> pa.RecordBatch:
                                       names=["a", "b", "certain"])
 
 
+def text_digest(text) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``).
 
@@ -273,10 +277,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ``kept`` marks it. Rows that repeat an id get the same answer; null ids are never the smallest. An empty table gives
     an empty one; other columns are not read.
     """
+    placed = _placed(docs, words, percent)
+    least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("low"))
+    component = F.coalesce("low", "doc_id")
+    return placed.join(least, "root", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, text_digest, linked, copies``: of each group of near-duplicates the smallest doc_id (null last) with, of its
+    texts in the group, the one of smallest digest; ``copies`` counts the rows that have both. Texts without a set link with
+    nothing and are all there, not ``linked``."""
+    placed = _placed(docs, words, percent)
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "m")).alias("low")
+    of_key = placed.filter("root IS NOT NULL").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("m"))
+    first = of_key.groupBy("root").agg(low).select("low.doc_id", "low.text_hash", F.lit(True).alias("linked"), "low.m")
+    alone = placed.filter("root IS NULL").groupBy("doc_id", "text_hash").agg(
+        F.lit(False).alias("linked"), F.count(F.lit(1)).alias("m"))
+    return first.union(alone.select(first.columns)).toDF("doc_id", "text_digest", "linked", "copies")
+
+
+def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, root`` for every row; rows of one root are near-duplicates."""
     if not 80 <= percent <= 100:
         raise ValueError("percent must lie between 80 and 100")
     small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    texts = docs.select("doc_id", text_digest(F.col("text")).alias("text_hash"), "text")
     rows = staged(_sketched(texts, words), "near-sketches")
 
     classes = rows.filter(F.size("keys") > 0).select("cls", "keys").dropDuplicates(["cls"])
@@ -312,12 +338,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = first.union(second.filter("certain").select("a", "b")).union(doubtful)
     labels = components(links)
 
-    placed = rows.join(labels, rows.cls == labels.node, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("root"))
-    least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("low"))
-    component = F.coalesce("low", "doc_id")
-    return placed.join(least, "root", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.join(labels, rows.cls == labels.node, "left").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("root"))
 
 
 ORACLE_SQL = """

@@ -64,3 +64,18 @@ def test_stages_take_odd_and_empty_tables(spark, name):
     if name != "bpe":
         assert out.columns == docs.columns
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_null_and_repeated_ids_do_not_shield_near_copies(spark):
+    def text(name, edit=""):
+        return " ".join(f"{name}{i}" for i in range(100)) + edit
+    rows = [(1, text("a"), "x"), (None, text("a", " more"), "x"), (None, text("b"), "x"),
+            (None, text("c"), "x"), (None, text("c", " more"), "x"), (None, text("c"), "y"),
+            (5, text("d"), "x"), (5, text("a", " other"), "x"), (6, text("e"), "x"), (6, text("e", " more"), "x"),
+            (7, text("f"), "x"), (7, text("f"), "y"), (None, "", "x"), (None, None, "x"), (8, " ", "x"), (8, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").strip()[:1]) for r in out.collect()), key=str)
+    assert got == sorted([(1, "a"), (None, "b"), (None, "c"), (5, "d"), (6, "e"), (7, "f"), (None, ""), (None, ""), (8, ""),
+                          (8, "")], key=str)
