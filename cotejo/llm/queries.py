@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import bpe, mixing, near, neighbours, passages, quality, simhash, suffix, toxicity, warc
+from cotejo.llm import bpe, mixing, near, neighbours, packing, passages, quality, simhash, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_sources(docs).drop("source")
 
 
+def op11_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_toxicity": (op2_toxicity, None),
@@ -68,4 +73,5 @@ QUERIES = {
     "op8_near": (op8_near, near.ORACLE_SQL),
     "op9_neighbours": (op9_neighbours, None),
     "op10_mixing": (op10_mixing, mixing.ORACLE_SQL),
+    "op11_packing": (op11_packing, None),
 }

@@ -84,6 +84,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray,
     return starts, ends, counts
 
 
+def span_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> pa.LargeBinaryArray:
+    """The bytes of each span (in order, none overlapping) as an Arrow array, A-Z lower-cased if asked."""
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1
+    taken = data[np.cumsum(edges[:-1], dtype=np.int8).astype(bool)]
+    bounds = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(LOWER[taken] if lower else taken)])
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word's bytes (A-Z lower-cased by default)."""
     if not len(starts):
