@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.llm import bpe, mixing, near, neighbours, packing, passages, quality, simhash, suffix, toxicity, warc
+from cotejo.llm import (bpe, mixing, near, neighbours, packing, passages, phrases, quality, search, simhash, suffix, toxicity,
+                        warc)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,14 @@ def op11_packing(spark, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_toxicity": (op2_toxicity, None),
@@ -74,4 +83,6 @@ QUERIES = {
     "op9_neighbours": (op9_neighbours, None),
     "op10_mixing": (op10_mixing, mixing.ORACLE_SQL),
     "op11_packing": (op11_packing, None),
+    "op12_search": (op12_search, search.ORACLE_SQL),
+    "op13_phrases": (op13_phrases, phrases.ORACLE_SQL),
 }
