@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from cotejo.operators import layout, matching, pairing
@@ -108,8 +109,8 @@ def brute_match(a, b, limit=0.6):
     return out
 
 
-@pytest.mark.parametrize("limit, tile", [(2000, 256), (5, 4)])
-def test_match_pairs_equals_brute_force(spark, limit, tile):
+@pytest.mark.parametrize("similarities", [matching.SIMILARITIES, (), (0.9, 0.61)])
+def test_match_pairs_equals_brute_force(spark, similarities):
     rng = random.Random(3)
     names = ["Ana Ruiz", "ANA RUIZ", "Luis Paz", "Eva Sol"]
     forms = {f: [[(rng.choice(names), number(rng, "0123", 5)) for _ in range(n)] for n in (size, size + f % 3)]
@@ -117,11 +118,38 @@ def test_match_pairs_equals_brute_force(spark, limit, tile):
     def side(k):
         rows = [(f, i, *p) for f, s in forms.items() for i, p in enumerate(s[k])]
         return spark.createDataFrame(rows, "form_id bigint, pos bigint, name string, id_number string")
-    got = matching.match_pairs(side(0), side(1), limit=limit, tile=tile).select("form_id", "pos", "b_pos").collect()
+    got = matching.match_pairs(side(0), side(1), similarities=similarities).select("form_id", "pos", "b_pos").collect()
     want = {(f, *p) for f, (a, b) in forms.items() for p in brute_match(a, b)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_long_lists_and_copies_equal_brute_force(spark):
+    rng = random.Random(8)
+    def rows(n, tail):
+        out = [("Ana Ruiz", number(rng, "0123456789", rng.choice((8, 8, 9, 10)))) for _ in range(n)]
+        return out + [("Eva Sol", "12345678")] * tail
+    a = rows(60, 12)
+    b = [(name[:-1] if i % 3 else name, ident[:3] + rng.choice("0123456789") + ident[4:]) for i, (name, ident) in enumerate(a)]
+    b = b[::-1][:50] + rows(5, 7) + [("Eva Sol", None), (None, "12345678"), ("x" * 40, "9" * 30), ("", "")]
+    a += [("y" * 40, "9" * 29 + "8"), ("", ""), (None, None)]
+    def side(rows_):
+        return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows_)],
+                                     "form_id bigint, pos bigint, name string, id_number string")
+    got = {(r["pos"], r["b_pos"]) for r in matching.match_pairs(side(a), side(b)).collect()}
+    whole = [[(i, r) for i, r in enumerate(rows_) if None not in r] for rows_ in (a, b)]
+    want = {(whole[0][i][0], whole[1][j][0]) for i, j in brute_match(*[[r for _, r in w] for w in whole])}
+    assert got == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("0123ab", max_size=14), st.text("0123ab", max_size=14), st.sampled_from([0.5, 0.625, 0.85, 0.96, -0.1]))
+def test_texts_of_the_ratio_share_a_signature(a, b, ratio):
+    total = len(a) + len(b)
+    met = set(matching.signatures(a, [len(b), 5], ratio, True)) & set(matching.signatures(b, [len(a), 3], ratio, False))
+    if (difflib.SequenceMatcher(None, a, b, False).ratio() if total else 1.0) >= ratio:
+        assert met
+
+
 def brute_proximity(names, ids, p=LayoutParams()):
     used, out = set(), []
     for i in sorted(ids, key=lambda r: r["y"]):
@@ -143,8 +171,8 @@ def brute_proximity(names, ids, p=LayoutParams()):
     return out
 
 
-@pytest.mark.parametrize("limit", [2000, 6])
-def test_pair_by_proximity_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("reaches", [matching.REACHES, (1.0,), (0.01, 0.1, 0.3, 1.0)])
+def test_pair_by_proximity_equals_brute_force(spark, reaches):
     rng = random.Random(11)
     def box(f, k, text):
         return dict(form_id=f, ord=k, text=text, x=float(rng.randrange(0, 1500)), y=float(rng.randrange(0, 900)),
@@ -158,7 +186,7 @@ def test_pair_by_proximity_equals_brute_force(spark, limit):
         forms[f] = names, [box(f, k, f"id{f}-{k}") for k in range(m)]
     schema = "form_id bigint, ord bigint, text string, x double, y double, w double, h double, confidence double"
     names, ids = [spark.createDataFrame([r for s in forms.values() for r in s[k]], schema) for k in (0, 1)]
-    got = matching.pair_by_proximity(names.withColumnRenamed("ord", "cluster"), ids, limit=limit)
+    got = matching.pair_by_proximity(names.withColumnRenamed("ord", "cluster"), ids, reaches=reaches)
     got = [tuple(r) for r in got.select("form_id", "name", "id_number", "distance").collect()]
     want = {(f, *p) for f, s in forms.items() for p in brute_proximity(*s)}
     assert len(got) == len(want) and set(got) == want
@@ -212,13 +240,12 @@ def test_too_wide_a_window_is_refused(spark):
         pairing.pair_readings(*lists(spark, {0: (["1"], ["2"])}), VoteParams(repair_window=9))
 
 
-@pytest.mark.parametrize("limit", [1, 2000])
-def test_a_name_without_a_place_is_no_option(spark, limit):
+def test_a_name_without_a_place_is_no_option(spark):
     box = "form_id bigint, {k} bigint, text string, x double, y double, w double, h double, confidence double"
     names = spark.createDataFrame([(1, 1, "ANA", None, 10.0, 5.0, 5.0, .9), (1, 2, "EVA", 90.0, 10.0, 5.0, 5.0, .9)],
                                   box.format(k="cluster"))
     ids = spark.createDataFrame([(1, 1, "123456", 10.0, 10.0, 5.0, 5.0, .9)], box.format(k="ord"))
-    got = matching.pair_by_proximity(names, ids, limit=limit).collect()
+    got = matching.pair_by_proximity(names, ids).collect()
     assert [(r["name"], r["id_number"]) for r in got] == [("EVA", "123456")]
 
 
