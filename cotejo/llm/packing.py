@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from cotejo.llm.textops import slices, small_batches, span_array, text_bytes, word_spans
+from cotejo.llm.textops import LOWER, slices, small_batches, span_array, text_bytes, word_spans
 from cotejo.plans.staging import staged
 
 LENGTH = 2048
@@ -27,60 +29,207 @@ END_ID = 1
 BUCKETS = 512
 DIMS = 4
 BITS = 10
-#: Words whose token ids a task remembers, at most, and the length of the longest that it remembers.
-KNOWN_WORDS = 100_000
-KNOWN_CHARS = 64
+#: Pieces whose token ids a task remembers, at most, and the length of the longest that it remembers.
+KNOWN = 500_000
+KNOWN_CHARS = 32
+#: Bytes of text encoded at a time.
+SLICE = 4 << 20
 
 #: White space that no token of the word vocabulary spans, so a text can be cut there.
 BREAKS = np.zeros(256, bool)
 BREAKS[[0x20, 0x09, 0x0A, 0x0D]] = True
+#: What the library itself has to take apart: control characters, the apostrophe of contractions, all beyond ASCII. The letters
+#: U+00C0 to U+00FF, C3 and another byte, are spared below; without a mark behind them they are composed already.
+ODD = np.zeros(256, bool)
+ODD[[*range(0x00, 0x20), 0x27, *range(0x7F, 0x100)]] = True
+ODD[BREAKS] = False
+#: Letters, other marks, digits; a digit is a piece of its own.
+KIND = np.zeros(256, np.int8)
+KIND[[*range(0x30, 0x3A)]] = 2
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+#: The way of taking texts apart that the pieces follow.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Merger:
+    """Merges the characters of many plain pieces at once, in rounds: in each, every piece merges its pair of lowest rank. A
+    merge makes pairs of higher rank only, so this is the order in which the pairs of one piece would be merged."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, vocabulary: dict[str, int], merges: list, end: str):
+        # Byte-level vocabularies write a byte as the character of its number, or in turn from 256 on if that is not visible.
+        seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        chars = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*seen}))}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        self.size = len(vocabulary)
+        keys = np.array([vocabulary[a] * self.size + vocabulary[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        self.inner, self.last = (np.array([vocabulary[chars[b] + tail] for b in range(256)], np.int32) for tail in ("", end))
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.NONE)
+
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in turn, and how many each has."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        chars = np.frombuffer(b"".join(pieces), np.uint8)
+        symbols, ends = self.inner[chars], np.cumsum(sizes)
+        symbols[ends - 1] = self.last[chars[ends - 1]]
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        rank = np.full(len(symbols), self.NONE, np.int32)
+        inside = np.flatnonzero(piece[1:] == piece[:-1])
+        rank[inside] = self._rank(symbols[inside], symbols[inside + 1])
+        done = []
+        while len(symbols):
+            opens = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+            lowest = np.repeat(np.minimum.reduceat(rank, opens), np.diff(np.append(opens, len(piece))))
+            over = lowest == self.NONE
+            if over.any():
+                done.append((piece[over], symbols[over]))
+                symbols, piece, rank, lowest = symbols[~over], piece[~over], rank[~over], lowest[~over]
+                if not len(symbols):
+                    break
+            hit = rank == lowest
+            # Of overlapping pairs, as in a run of one letter, every other one is merged.
+            twice = np.flatnonzero(hit[1:] & hit[:-1])
+            for i in twice.tolist():
+                if hit[i] and hit[i + 1] and piece[i] == piece[i + 1]:
+                    hit[i + 1] = False
+            at = np.flatnonzero(hit)
+            symbols[at] = self.made[rank[at]]
+            rank[at] = self.NONE
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            place = np.cumsum(keep) - 1
+            symbols, piece, rank, at = symbols[keep], piece[keep], rank[keep], place[at]
+            left = np.concatenate((at[at > 0] - 1, at[at + 1 < len(symbols)]))
+            same = piece[left] == piece[left + 1]
+            rank[left[~same]] = self.NONE
+            left = left[same]
+            rank[left] = self._rank(symbols[left], symbols[left + 1])
+        piece, symbols = (np.concatenate(x) for x in zip(*done)) if done else (piece, symbols)
+        order = np.argsort(piece, kind="stable")
+        return symbols[order], np.bincount(piece, minlength=len(pieces))
 
 
 @functools.lru_cache(maxsize=1)
 def tokenizer(path: str):
+    """The tokenizer, and the merges of a plain piece if it takes texts apart by ``PATTERN``."""
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    made = json.loads(whole.to_str())
+    steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+    parts, model = (made["pre_tokenizer"] or {}).get("pretokenizers", []), made["model"]
+    plain = (steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"]
+             and parts[0]["pattern"] == {"Regex": PATTERN} and model["type"] == "BPE" and not model.get("ignore_merges"))
+    return whole, Merger(model["vocab"], model["merges"], model["end_of_word_suffix"] or "") if plain else None
+
+
+def vocabulary_size(path: str) -> int:
+    return tokenizer(path)[0].get_vocab_size()
+
+
+def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts and ends of what is encoded on its own, whether it has something odd, how many there are in each row, and the
+    data with plain words in lower case. A word with an odd byte stays whole; others fall into letters, digits and marks."""
+    starts, ends, counts = word_spans(data, offsets, BREAKS)
+    if not len(starts):
+        return starts, ends, np.zeros(0, bool), counts, data
+    strange, kind, lower = ODD[data], KIND[data], LOWER[data]
+    accented = np.flatnonzero(data == 0xC3)
+    second = data[accented + 1]
+    accented, second = (x[(second != 0x97) & (second != 0xB7)] for x in (accented, second))  # U+00D7 and U+00F7 are no letters
+    for at in (accented, accented + 1):
+        strange[at], kind[at] = False, 1
+    lower[accented + 1] = np.where(second <= 0x9E, second | 0x20, second)
+    strange = np.append(0, np.cumsum(strange, dtype=np.int32))
+    odd = strange[ends] > strange[starts]
+    opens = np.ones(len(data), bool)
+    np.not_equal(kind[1:], kind[:-1], out=opens[1:])
+    opens |= kind == 2
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] = 1
+    inside[ends] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    whole = np.zeros(len(data) + 1, np.int8)
+    whole[starts[odd]] = 1
+    whole[ends[odd]] -= 1
+    whole = np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
+    lower[whole] = data[whole]
+    opens &= inside & ~whole
+    opens[starts] = True
+    first = np.flatnonzero(opens)
+    # A piece ends where the next one of its word starts, or with the word.
+    word = np.cumsum(np.isin(first, starts, assume_unique=True)) - 1
+    stops = np.minimum(np.append(first[1:], len(data)), ends[word])
+    return first, stops, odd[word], np.diff(np.searchsorted(first, offsets)), lower
 
 
 class WordEncoder:
-    """Token ids of texts by a tokenizer that drops white space: each distinct word of a slice is encoded once."""
+    """Token ids of texts: each distinct piece is encoded once, as long as a task remembers it."""
 
     def __init__(self, path: str):
-        self.encode = tokenizer(path).encode_batch_fast
-        self.known: dict[str, list[int]] = {}
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        found = list(map(self.known.get, words))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if len(self.known) + len(missing) > KNOWN_WORDS:
-            self.known.clear()
-        for at in range(0, len(missing), 10_000):
-            some = missing[at:at + 10_000]
-            asked = [words[i] for i in some]
-            made = [e.ids for e in self.encode(asked, add_special_tokens=False)]
-            for i, ids in zip(some, made):
-                found[i] = ids
-            if len(self.known) < KNOWN_WORDS:
-                self.known.update((w, ids) for w, ids in zip(asked, made) if len(w) <= KNOWN_CHARS)
-        return found
+        self.whole, self.merger = tokenizer(path)
+        self.place: dict[bytes, int] = {}
+        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _encode(self, pieces: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in turn and how many each has."""
+        kinds = np.flatnonzero(plain), np.flatnonzero(~plain)
+        flat, sizes = self.merger([pieces[i] for i in kinds[0].tolist()])
+        odd = [pieces[i].decode() for i in kinds[1].tolist()]
+        lists = [e.ids for low in range(0, len(odd), 10_000)
+                 for e in self.whole.encode_batch_fast(odd[low:low + 10_000], add_special_tokens=False)]
+        flat = np.append(flat, np.fromiter(itertools.chain.from_iterable(lists), np.int32))
+        sizes = np.append(sizes, np.fromiter(map(len, lists), np.int64, len(lists)))
+        order = np.argsort(np.concatenate(kinds), kind="stable")
+        first = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        total = np.append(0, np.cumsum(sizes))
+        return flat[np.arange(total[-1]) + np.repeat(first - total[:-1], sizes)], sizes
+
+    def _learn(self, pieces: list[bytes], plain: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """Places of pieces in the store, after encoding those that are not in it."""
+        if len(self.bounds) > KNOWN:
+            self.__dict__.update(place={}, flat=np.zeros(0, np.int32), bounds=np.zeros(1, np.int64))
+        place = np.fromiter(map(self.place.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            flat, sizes = self._encode([pieces[i] for i in missing.tolist()], plain[missing])
+            place[missing] = len(self.bounds) - 1 + np.arange(len(missing))
+            kept = missing[short[missing]]
+            self.place.update(zip([pieces[i] for i in kept.tolist()], place[kept].tolist()))
+            self.flat = np.append(self.flat, flat)
+            self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(sizes))
+        return place
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in turn, and the n + 1 bounds of the rows."""
-        starts, ends, counts = word_spans(data, offsets, BREAKS)
+        if self.merger is None:
+            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:])]
+            lists = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return (np.array([x for ids in lists for x in ids], np.int32),
+                    np.append(0, np.cumsum([len(ids) for ids in lists], dtype=np.int64)))
+        starts, ends, odd, counts, lower = piece_spans(data, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        distinct = span_array(data, starts, ends).dictionary_encode()
-        lists = self._ids(distinct.dictionary.cast(pa.large_string()).to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes.sum()))
+        distinct = span_array(lower, starts, ends).dictionary_encode()
         code = distinct.indices.to_numpy()
-        size = sizes[code]
+        # Codes are given in order of first occurrence.
+        first = np.flatnonzero(np.append(True, code[1:] > np.maximum.accumulate(code)[:-1]))
+        short = (ends - starts)[first] <= KNOWN_CHARS
+        place = self._learn(distinct.dictionary.to_pylist(), short & ~odd[first], short)
+        size = np.diff(self.bounds)[place][code]
         total = np.append(0, np.cumsum(size))
-        shift = total[:-1] - (np.cumsum(sizes) - sizes)[code]
-        ids = flat[np.arange(total[-1]) - np.repeat(shift, size)]
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.bounds[place][code] - total[:-1], size)]
         return ids, total[np.append(0, np.cumsum(counts))]
 
 
@@ -88,14 +237,17 @@ def hashed_vectors(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Projected vectors, one row per document; a document without tokens is the origin."""
     rng = np.random.default_rng(20_240_601)
     projection = rng.standard_normal((BUCKETS, DIMS))
-    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bucket = (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS
-    rows = len(bounds) - 1
-    row = np.repeat(np.arange(rows), np.diff(bounds))
-    counts = np.bincount(row * BUCKETS + bucket, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
-    vectors = np.sqrt(counts)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.where(norm > 0, norm, 1) @ projection
+    bucket = (np.arange(int(ids.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % BUCKETS
+    out = np.zeros((len(bounds) - 1, DIMS))
+    for low in range(0, len(out), 256):
+        within = bounds[low:low + 257]
+        rows = len(within) - 1
+        at = np.repeat(np.arange(rows, dtype=np.int64) * BUCKETS, np.diff(within))
+        at += bucket[ids[within[0]:within[-1]]].astype(np.int64)
+        counts = np.bincount(at, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
+        # The squared length of the square roots is the number of tokens.
+        out[low:low + rows] = np.sqrt(counts) @ projection / np.sqrt(np.maximum(np.diff(within), 1))[:, None]
+    return out
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -124,12 +276,12 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 def _tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """One stored row per document: an own number, the key, a digest of the text, its ids (2 bytes each if the vocabulary
     allows, else 4) and its vector."""
-    small = max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16
+    small = max(vocabulary_size(path), end_id + 1) <= 1 << 16
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordEncoder(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, bounds = encode(*text_bytes(part.column("text")))
                 vectors = hashed_vectors(ids, bounds)
                 packed = np.insert(ids, bounds[1:], end_id).astype("<u2" if small else "<u4")
@@ -216,7 +368,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int
     placed, base, total = _placed(_keyed(tokens))
     tail = sequence_bounds(total, length)
     whole = total // length
-    width = "<u2" if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    width = "<u2" if max(vocabulary_size(path), end_id + 1) <= 1 << 16 else "<u4"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
