@@ -5,10 +5,10 @@ themselves as equi-keys next to the form, and aggregates combine before they shu
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cotejo.functions import geometry as geo, text as tx
+from cotejo.operators.graph import components
 from cotejo.params import LayoutParams
 from cotejo.plans.staging import staged
 
@@ -46,67 +46,57 @@ def _append_run(acc: Column, run: Column, text: Column) -> Column:
 
 
 # --- name clusters ----------------------------------------------------------------------------------------------------
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _linked_labels(labels: pd.Series, ends: pd.Series) -> pd.Series:
-    """Per page: the lowest label each occupied cell is linked to. ``ends`` holds pairs of labels in a row."""
-
-    def one(nodes, pairs):
-        parent = {n: n for n in nodes}
-
-        def root(n):
-            while parent[n] != n:
-                parent[n] = parent[parent[n]]
-                n = parent[n]
-            return n
-
-        for a, b in zip(pairs[::2], pairs[1::2]):
-            a, b = root(a), root(b)
-            parent[max(a, b)] = min(a, b)
-        return [root(n) for n in nodes]
-
-    return pd.Series([one(n, e) for n, e in zip(labels, ends)])
+def _cell_links(columns: DataFrame, cells: DataFrame, p: LayoutParams) -> DataFrame:
+    """Links (form_id, a, b) between the labels of touching cells.
+
+    Words of cells side by side, or one below the other, differ by less than a cell in the other direction, so the cells'
+    extremes decide. For diagonal neighbours some word has to be near in both directions: the words of such a pair, one row
+    for each distinct x, pass in order of x, the lowest word so far against the highest of the other cell."""
+    def moved(dx: int, dy: int) -> DataFrame:
+        other = cells.select("form_id", (F.col("cx") - dx).alias("cx"), (F.col("cy") - dy).alias("cy"), *[
+            F.col(k).alias(f"other_{k}") for k in ("label", "left", "right", "high", "low")])
+        gap = F.col("other_left") - F.col("right") if dx >= 0 else F.col("left") - F.col("other_right")
+        met = cells.join(other, ["form_id", "cx", "cy"])
+        if dx:
+            met = met.filter(gap < p.cluster_dx)
+        return met.filter(F.col("other_high") - F.col("low") < p.cluster_dy) if dy else met
+
+    ends = ["form_id", F.col("label").alias("a"), F.col("other_label").alias("b")]
+    sure = moved(1, 0).select(*ends).unionByName(moved(0, 1).select(*ends))
+    sides = F.lit(1).alias("side"), F.lit(-1).alias("side")
+    maybe = moved(1, 1).select(*ends, "cx", "cy", sides[0]).unionByName(moved(-1, 1).select(*ends, "cx", "cy", sides[1]))
+    pair = ["form_id", "cx", "cy", "side"]
+    upper = columns.join(maybe, ["form_id", "cx", "cy"]).select(
+        *pair, "a", "b", (F.col("side") * F.col("x") + p.cluster_dx).alias("at"), (F.col("low") + p.cluster_dy).alias("reach"),
+        F.lit(None).cast("double").alias("top"))
+    lower = maybe.withColumns({"ox": F.col("cx") + F.col("side"), "oy": F.col("cy") + 1}).join(
+        columns.withColumnsRenamed({"cx": "ox", "cy": "oy"}), ["form_id", "ox", "oy"]).select(
+        *pair, "a", "b", (F.col("side") * F.col("x")).alias("at"), F.lit(None).cast("double").alias("reach"),
+        F.col("high").cast("double").alias("top"))
+    # Words of the lower cell come first among equals, since a distance of exactly a cell is no contact.
+    order = Window.partitionBy(*pair).orderBy(F.desc("at"), F.col("top").isNull())
+    passed = F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    near = upper.unionByName(lower).withColumn("passed", passed).filter(F.col("top") < F.col("passed"))
+    return sure.unionByName(near.select("form_id", "a", "b").distinct())
 
 
 def cluster_words(words: DataFrame, p: LayoutParams = DEFAULT) -> DataFrame:
     """Add ``cluster``: the lowest box_id reachable over steps of |dx| < cluster_dx and |dy| < cluster_dy on a form.
 
     Words are first put on a grid of that cell size. All words of one cell are mutual neighbours, so a cell is one node
-    however many words it holds, and only the eight cells around it can touch it. Sideways and downward contact needs
-    the cells' extremes; diagonal contact compares their edge profiles (one point per distinct x). Per form, one task
-    sees the occupied cells: at most page area / cell area of them (about 4,900 on the largest accepted page)."""
+    however many words it holds, known by its lowest box_id, and only the eight cells around it can touch it. Touching cells
+    are linked in joins, and so are their components; no task sees a page."""
     gx, gy = F.floor(F.col("x") / p.cluster_dx), F.floor(F.col("y") / p.cluster_dy)
     placed = words.withColumns({"cx": gx, "cy": gy})
-    columns = placed.groupBy("form_id", "cx", "cy", "x").agg(
-        F.max("y").alias("low"), F.min("y").alias("high"), F.min("box_id").alias("label")
-    )
-    cells = columns.groupBy("form_id", "cx", "cy").agg(
-        F.min("label").alias("label"), F.collect_list(F.struct("x", "low", "high")).alias("profile")
-    )
-    cells = staged(cells, "cells")
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))])
-    here = cells.select("form_id", "cx", "cy", "label", "profile", F.explode(steps).alias("s")).select(
-        "form_id", "label", "profile", (F.col("cx") + F.col("s.dx")).alias("nx"), (F.col("cy") + F.col("s.dy")).alias("ny"),
-    )
-    there = cells.select("form_id", F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("label").alias("other_label"),
-                         F.col("profile").alias("other"))
-
-    def touches(a: Column, b: Column) -> Column:
-        return (F.abs(a["x"] - b["x"]) < p.cluster_dx) & (b["high"] - a["low"] < p.cluster_dy)
-
-    contact = F.exists("profile", lambda a: F.exists("other", lambda b: touches(a, b)))
-    links = here.join(there, ["form_id", "nx", "ny"]).filter(contact).select(
-        "form_id", F.lit(None).cast("bigint").alias("node"), F.array("label", "other_label").alias("ends")
-    )
-    # A cell is known by its lowest box_id, which no other cell of the form has.
-    nodes = cells.select("form_id", F.col("label").alias("node"), F.lit(None).cast("array<bigint>").alias("ends"))
-    pages = nodes.unionByName(links).groupBy("form_id").agg(
-        F.collect_list("node").alias("nodes"), F.flatten(F.collect_list("ends")).alias("ends")
-    )
-    labelled = pages.withColumn("clusters", _linked_labels("nodes", "ends")).select(
-        "form_id", F.explode(F.arrays_zip("nodes", "clusters")).alias("n")
-    )
-    labelled = labelled.select("form_id", F.col("n.nodes").alias("label"), F.col("n.clusters").alias("cluster"))
-    by_cell = cells.select("form_id", "cx", "cy", "label").join(labelled, ["form_id", "label"]).drop("label")
+    columns = staged(placed.groupBy("form_id", "cx", "cy", "x").agg(
+        F.max("y").alias("low"), F.min("y").alias("high"), F.min("box_id").alias("label")), "columns")
+    cells = staged(columns.groupBy("form_id", "cx", "cy").agg(
+        F.min("label").alias("label"), F.min("x").alias("left"), F.max("x").alias("right"), F.min("high").alias("high"),
+        F.max("low").alias("low")), "cells")
+    roots = components(_cell_links(columns.drop("label"), cells, p))
+    by_cell = cells.select("form_id", "cx", "cy", "label").join(
+        roots.withColumnRenamed("node", "label"), ["form_id", "label"], "left")
+    by_cell = by_cell.select("form_id", "cx", "cy", F.coalesce("root", "label").alias("cluster"))
     return placed.join(by_cell, ["form_id", "cx", "cy"]).drop("cx", "cy")
 
 

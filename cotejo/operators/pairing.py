@@ -8,7 +8,6 @@ chunks whose last rows need repair have to be chained."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cotejo.functions.text import sequence_ratio, surely_similar
@@ -72,20 +71,21 @@ def _exit_bits(folded: Column, end: Column, window: int) -> Column:
     return _advance(folded["bits"], end - folded["prev"], window).bitwiseAND((1 << 2 * window) - 1).cast("int")
 
 
-def _chainer(start: int):
-    def chain(chunks: pd.DataFrame) -> pd.DataFrame:
-        """Entry state of every chunk that follows a chunk with an open end. One short row per such chunk."""
-        chunks = chunks.sort_values("chunk")
-        out, last, state = [], None, start
-        for chunk, exits in zip(chunks["chunk"], chunks["exits"]):
-            state = int(exits[state if last == chunk - 1 else start])
-            last = chunk
-            out.append((chunk + 1, state))
-        found = pd.DataFrame(out, columns=["chunk", "entry"])
-        found.insert(0, "form_id", chunks["form_id"].iloc[0])
-        return found
+def _entry_states(open_end: DataFrame, start: int) -> DataFrame:
+    """``form_id, chunk, entry`` of every chunk that follows one with an open end.
 
-    return chain
+    A run of chunks with open ends is one function after the other. Spans of them are composed in joins, each round with the
+    span that ends where one's own begins, so a run of n chunks takes about log n rounds and no task sees a whole form."""
+    spans = staged(open_end.withColumn("first", F.col("chunk")), "spans")
+    while True:
+        before = spans.select("form_id", (F.col("chunk") + 1).alias("first"), F.col("first").alias("earlier"),
+                              F.col("exits").alias("inner"))
+        met = spans.join(before, ["form_id", "first"], "left")
+        if met.filter(F.col("earlier").isNotNull()).isEmpty():
+            return spans.select("form_id", (F.col("chunk") + 1).alias("chunk"), F.col("exits")[start].alias("entry"))
+        through = F.transform("inner", lambda s: F.col("exits")[s])
+        spans = staged(met.select("form_id", "chunk", F.when(F.col("earlier").isNull(), F.col("exits")).otherwise(through)
+                                  .alias("exits"), F.coalesce("earlier", "first").alias("first")), "spans")
 
 
 def resolve_repairs(weak: DataFrame, chunk: int = CHUNK, window: int = DEFAULT.repair_window) -> DataFrame:
@@ -105,7 +105,7 @@ def resolve_repairs(weak: DataFrame, chunk: int = CHUNK, window: int = DEFAULT.r
             lambda s: _exit_bits(_fold(F.col("weak"), F.col("start"), s, window), F.col("end"), window),
         ).alias("exits"),
     )
-    entries = open_end.groupBy("form_id").applyInPandas(_chainer(settled(window)), "form_id bigint, chunk bigint, entry int")
+    entries = _entry_states(open_end, settled(window))
     entered = pieces.join(entries, ["form_id", "chunk"], "left")
     folded = _fold(F.col("weak"), F.col("start"), F.coalesce("entry", F.lit(settled(window))), window)
     return entered.select("form_id", F.explode(folded["picks"]).alias("p")).select("form_id", "p.pos", "p.step")

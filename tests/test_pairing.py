@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from cotejo.operators import layout, matching, pairing
+from cotejo.operators import graph, layout, matching, pairing
 from cotejo.operators.reconcile import dedupe_best, dense_position
 from cotejo.params import LayoutParams, VoteParams
 from cotejo.plans import digit_ensemble
@@ -192,9 +192,12 @@ def test_pair_by_proximity_equals_brute_force(spark, reaches):
     assert len(got) == len(want) and set(got) == want
 
 
-def test_clusters_equal_transitive_closure(spark):
+@pytest.mark.parametrize("unit", [1, 35, 70])
+def test_clusters_equal_transitive_closure(spark, unit):
     rng = random.Random(5)
-    rows = [(f, k, float(rng.randrange(0, 4000)), float(rng.randrange(0, 900))) for f in range(6) for k in range(60)]
+    # With units that divide a cell many words are exactly a cell apart, which is no contact.
+    rows = [(f, k, float(unit * rng.randrange(-500 // unit, 4000 // unit)), float(unit // 7 * rng.randrange(900 // (unit // 7))
+             if unit > 1 else rng.randrange(0, 900))) for f in range(6) for k in range(60)]
     rows += [(9, k, 10.0 + k % 7, 5.0 + k % 5) for k in range(300)]
     df = spark.createDataFrame(rows, "form_id bigint, box_id bigint, x double, y double")
     got = {(r["form_id"], r["box_id"]): r["cluster"] for r in layout.cluster_words(df).collect()}
@@ -216,6 +219,22 @@ def test_clusters_equal_transitive_closure(spark):
     assert got == want
 
 
+def test_components_of_chains_and_rings(spark):
+    chain = [(1, i, i + 1) for i in range(100)]
+    ring = [(2, i, (i + 7) % 50) for i in range(50)]
+    lone = [(3, 5, 5), (3, 8, 6), (3, 9, 8)]
+    links = spark.createDataFrame(chain + ring + lone, "form_id bigint, a bigint, b bigint").repartition(5)
+    got = {(r.form_id, r.node): r.root for r in graph.components(links).collect()}
+    assert got == {**{(1, i): 0 for i in range(101)}, **{(2, i): 0 for i in range(50)}, (3, 6): 6, (3, 8): 6, (3, 9): 6}
+
+
+def test_a_run_of_open_chunks_is_composed(spark):
+    rng = random.Random(4)
+    forms = {0: tuple([number(rng, rng.choice(["01", "23"]), 3) for _ in range(150)] for _ in range(2))}
+    got = pairing.pair_readings(*lists(spark, forms), chunk=3).select("form_id", "pos", "b_pos", "how").collect()
+    assert {tuple(r) for r in got} == {(f, *q) for f, (a, b) in forms.items() for q in brute_pairs(a, b)}
+
+
 def test_partitioning_does_not_matter(spark):
     rng = random.Random(2)
     forms = {f: tuple([number(rng, "01234", 5) for _ in range(7)] for _ in range(2)) for f in range(30)}
