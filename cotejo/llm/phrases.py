@@ -30,8 +30,10 @@ COVERED = 80
 #: Stored suffixes of one group, as many as one task sorts at a time.
 GROUP_ROWS = 250_000
 #: Bytes of text counted at a time, and counted entries a task holds before it hands them on.
-SLICE = 8 << 20
-HELD = 4_000_000
+SLICE = 4 << 20
+HELD = 2_000_000
+#: Rows of one Arrow batch that a task hands on.
+OUT_ROWS = 65_536
 #: Bitmaps have between 2**20 and 2**30 slots, about one for each word of the corpus.
 SLOT_BITS = (20, 30)
 BITMAP_BITS = 32_768
@@ -86,6 +88,11 @@ def _gathered(batches: Iterable[pa.RecordBatch], seed: int, most: int) -> Iterat
         yield Words(pa.Table.from_batches(held).combine_chunks().to_batches()[0], seed)
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, OUT_ROWS):
+        yield batch.slice(start, OUT_ROWS)
+
+
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, at = np.unique(keys, return_inverse=True)
     return distinct, np.bincount(at, counts, len(distinct)).astype(np.int64)
@@ -119,9 +126,9 @@ def _word_counts(texts: DataFrame, seed: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in _gathered(batches, seed, most):
-            yield pa.RecordBatch.from_arrays(
+            yield from _cut(pa.RecordBatch.from_arrays(
                 [w.langs, w.words.cast(pa.large_string()), pa.array(w.hash.view(np.int64)),
-                 pa.array(np.bincount(w.code, minlength=len(w.hash)).astype(np.int64))], names=["lang", "word", "h", "n"])
+                 pa.array(np.bincount(w.code, minlength=len(w.hash)).astype(np.int64))], names=["lang", "word", "h", "n"]))
 
     counted = texts.mapInArrow(run, "lang string, word string, h bigint, n bigint")
     return staged(counted.groupBy("lang", "word", "h").agg(F.sum("n").alias("n")), "phrase-words")
@@ -133,7 +140,7 @@ def _pair_slots(texts: DataFrame, seed: int, often: np.ndarray, bits: int, pair_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["slot", "n"])
+            return _cut(pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["slot", "n"]))
 
         keys = counts = np.zeros(0, np.int64)
         for w in _gathered(batches, seed, most):
@@ -142,9 +149,9 @@ def _pair_slots(texts: DataFrame, seed: int, often: np.ndarray, bits: int, pair_
             found = slots(pair_hashes(w.hash[w.code[both]], w.hash[w.code[both + 1]]), pair_bits)
             keys, counts = _merged(np.append(keys, found), np.append(counts, np.ones(len(found), np.int64)))
             if len(keys) > entries:
-                yield out()
+                yield from out()
                 keys = counts = np.zeros(0, np.int64)
-        yield out()
+        yield from out()
 
     return texts.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
 
@@ -170,9 +177,9 @@ def _suffixes(texts: DataFrame, seed: int, often: np.ndarray, bits: int, pairs:
             opens[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
             first = np.flatnonzero(opens)
             hashes = np.append(np.uint64(0), w.hash).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
+            yield from _cut(pa.RecordBatch.from_arrays(
                 [pa.array(hashes[c[first]]) for c in columns] + [pa.array(np.diff(np.append(first, len(order))))],
-                names=[*KEYS, "n"])
+                names=[*KEYS, "n"]))
 
     return staged(texts.mapInArrow(run, ", ".join(f"{k} bigint" for k in KEYS) + ", n bigint"), "phrase-suffixes")
 
