@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("voting", "columns", "reconcile", "layout", "accounts", "lookups", "streams")
+FAMILIES = ("voting", "columns", "reconcile", "layout", "accounts", "lookups", "streams", "stores")
 
 
 def registry() -> dict:

@@ -95,8 +95,12 @@ def split_upserts(users: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Dat
 def upsert_users(users: DataFrame, incoming: DataFrame) -> DataFrame:
     """New user snapshot: known ids take the incoming mutable fields (a NULL leaves one alone), unknown ids are added.
     Only the rows that :func:`split_upserts` accepts are written."""
+    return merge_users(users, split_upserts(users, incoming)[0])
+
+
+def merge_users(users: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The users with rows that have been accepted already."""
     mutable = [c for c in users.columns if c not in ("user_id", "created_at")]
-    accepted, _ = split_upserts(users, incoming)
     changes = accepted.select("user_id", *[F.col(c).alias(f"new_{c}") for c in mutable])
     updated = users.join(changes, "user_id", "left").withColumns(
         {c: F.coalesce(f"new_{c}", c) for c in mutable}

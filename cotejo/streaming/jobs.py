@@ -103,9 +103,10 @@ def with_end(stream: DataFrame, time: str) -> tuple[DataFrame, Callable[[], None
     return stream.unionByName(spark.readStream.schema(schema).parquet(path)), release
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", ends: tuple[Callable[[], None], ...] = ()) -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", ends: tuple[Callable[[], None], ...] = (),
+          settings: dict[str, str] | None = None) -> DataFrame:
     """Run a stream over everything available now into Parquet files and return them as a table. With ``ends`` (from
-    :func:`with_end`) the end markers follow once all events are in."""
+    :func:`with_end`) the end markers follow once all events are in. ``settings`` hold while the stream runs."""
     spark = stream.sparkSession
     path = f"{checkpoint_root(spark)}/cotejo-stream-{name}-{uuid.uuid4().hex}"
 
@@ -116,9 +117,16 @@ def drain(stream: DataFrame, name: str, mode: str = "append", ends: tuple[Callab
         )
         query.awaitTermination()
 
-    run()
-    if ends:
-        for end in ends:
-            end()
+    before = {key: spark.conf.get(key, None) for key in settings or {}}
+    for key, value in (settings or {}).items():
+        spark.conf.set(key, value)
+    try:
         run()
+        if ends:
+            for end in ends:
+                end()
+            run()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(stream.schema).parquet(path)
