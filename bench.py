@@ -13,7 +13,7 @@ from cotejo.session import local_session
 HEADLINE = (
     "v7_fallback", "v9_positional_ensemble", "v9_digit_ensemble", "g1_dedupe_best", "j1_whole_id_consensus",
     "j7_same_row_names", "g6_assemble_rows_a", "a5_cluster_words", "j6_pair_by_proximity", "j12_authorize_requests",
-    "j13_validate_rows", "g15_usage_counters", "g17_build_invoices",
+    "j13_validate_rows", "g15_usage_counters", "g17_build_invoices", "j3_pair_readings", "j5_match_pairs", "v8_vote_pairs",
 )
 
 

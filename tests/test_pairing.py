@@ -109,8 +109,8 @@ def brute_match(a, b, limit=0.6):
     return out
 
 
-@pytest.mark.parametrize("similarities", [matching.SIMILARITIES, (), (0.9, 0.61)])
-def test_match_pairs_equals_brute_force(spark, similarities):
+@pytest.mark.parametrize("similarities, few", [((), 4096), (matching.SIMILARITIES, 0), ((), 0), ((0.9, 0.61), 12)])
+def test_match_pairs_equals_brute_force(spark, similarities, few):
     rng = random.Random(3)
     names = ["Ana Ruiz", "ANA RUIZ", "Luis Paz", "Eva Sol"]
     forms = {f: [[(rng.choice(names), number(rng, "0123", 5)) for _ in range(n)] for n in (size, size + f % 3)]
@@ -118,7 +118,7 @@ def test_match_pairs_equals_brute_force(spark, similarities):
     def side(k):
         rows = [(f, i, *p) for f, s in forms.items() for i, p in enumerate(s[k])]
         return spark.createDataFrame(rows, "form_id bigint, pos bigint, name string, id_number string")
-    got = matching.match_pairs(side(0), side(1), similarities=similarities).select("form_id", "pos", "b_pos").collect()
+    got = matching.match_pairs(side(0), side(1), similarities=similarities, few=few).select("form_id", "pos", "b_pos").collect()
     want = {(f, *p) for f, (a, b) in forms.items() for p in brute_match(a, b)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
@@ -135,7 +135,7 @@ def test_long_lists_and_copies_equal_brute_force(spark):
     def side(rows_):
         return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows_)],
                                      "form_id bigint, pos bigint, name string, id_number string")
-    got = {(r["pos"], r["b_pos"]) for r in matching.match_pairs(side(a), side(b)).collect()}
+    got = {(r["pos"], r["b_pos"]) for r in matching.match_pairs(side(a), side(b), few=100).collect()}
     whole = [[(i, r) for i, r in enumerate(rows_) if None not in r] for rows_ in (a, b)]
     want = {(whole[0][i][0], whole[1][j][0]) for i, j in brute_match(*[[r for _, r in w] for w in whole])}
     assert got == want
@@ -171,8 +171,8 @@ def brute_proximity(names, ids, p=LayoutParams()):
     return out
 
 
-@pytest.mark.parametrize("reaches", [matching.REACHES, (1.0,), (0.01, 0.1, 0.3, 1.0)])
-def test_pair_by_proximity_equals_brute_force(spark, reaches):
+@pytest.mark.parametrize("reaches, few", [((1.0,), 4096), (matching.REACHES, 0), ((1.0,), 0), ((0.01, 0.1, 0.3, 1.0), 20)])
+def test_pair_by_proximity_equals_brute_force(spark, reaches, few):
     rng = random.Random(11)
     def box(f, k, text):
         return dict(form_id=f, ord=k, text=text, x=float(rng.randrange(0, 1500)), y=float(rng.randrange(0, 900)),
@@ -186,7 +186,7 @@ def test_pair_by_proximity_equals_brute_force(spark, reaches):
         forms[f] = names, [box(f, k, f"id{f}-{k}") for k in range(m)]
     schema = "form_id bigint, ord bigint, text string, x double, y double, w double, h double, confidence double"
     names, ids = [spark.createDataFrame([r for s in forms.values() for r in s[k]], schema) for k in (0, 1)]
-    got = matching.pair_by_proximity(names.withColumnRenamed("ord", "cluster"), ids, reaches=reaches)
+    got = matching.pair_by_proximity(names.withColumnRenamed("ord", "cluster"), ids, reaches=reaches, few=few)
     got = [tuple(r) for r in got.select("form_id", "name", "id_number", "distance").collect()]
     want = {(f, *p) for f, s in forms.items() for p in brute_proximity(*s)}
     assert len(got) == len(want) and set(got) == want
