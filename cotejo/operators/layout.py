@@ -47,24 +47,24 @@ def _append_run(acc: Column, run: Column, text: Column) -> Column:
 
 # --- name clusters ----------------------------------------------------------------------------------------------------
 def _cell_links(columns: DataFrame, cells: DataFrame, p: LayoutParams) -> DataFrame:
-    """Links (form_id, a, b) between the labels of touching cells.
-
-    Words of cells side by side, or one below the other, differ by less than a cell in the other direction, so the cells'
-    extremes decide. For diagonal neighbours some word has to be near in both directions: the words of such a pair, one row
-    for each distinct x, pass in order of x, the lowest word so far against the highest of the other cell."""
-    def moved(dx: int, dy: int) -> DataFrame:
-        other = cells.select("form_id", (F.col("cx") - dx).alias("cx"), (F.col("cy") - dy).alias("cy"), *[
-            F.col(k).alias(f"other_{k}") for k in ("label", "left", "right", "high", "low")])
-        gap = F.col("other_left") - F.col("right") if dx >= 0 else F.col("left") - F.col("other_right")
-        met = cells.join(other, ["form_id", "cx", "cy"])
-        if dx:
-            met = met.filter(gap < p.cluster_dx)
-        return met.filter(F.col("other_high") - F.col("low") < p.cluster_dy) if dy else met
-
-    ends = ["form_id", F.col("label").alias("a"), F.col("other_label").alias("b")]
-    sure = moved(1, 0).select(*ends).unionByName(moved(0, 1).select(*ends))
-    sides = F.lit(1).alias("side"), F.lit(-1).alias("side")
-    maybe = moved(1, 1).select(*ends, "cx", "cy", sides[0]).unionByName(moved(-1, 1).select(*ends, "cx", "cy", sides[1]))
+    """Links (form_id, a, b) between the labels of touching cells of different columns.
+
+    Words of cells side by side differ by less than a cell in height, so the cells' extremes decide. For diagonal neighbours
+    some word has to be near in both directions: the words of such a pair, one row for each distinct x, pass in order of x,
+    the lowest word so far against the highest of the other cell."""
+    steps = F.array(*[F.struct(F.lit(dx).alias("side"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (1, 1), (-1, 1))])
+    other = cells.select("form_id", F.col("cx").alias("ox"), F.col("cy").alias("oy"), *[
+        F.col(k).alias(f"other_{k}") for k in ("label", "left", "right", "high")])
+    here = cells.withColumn("step", F.explode(steps)).withColumns(
+        {"ox": F.col("cx") + F.col("step.side"), "oy": F.col("cy") + F.col("step.dy")})
+    across = F.when(F.col("step.side") > 0, F.col("other_left") - F.col("right")).otherwise(F.col("left") - F.col("other_right"))
+    down = (F.col("step.dy") == 0) | (F.col("other_high") - F.col("low") < p.cluster_dy)
+    met = here.join(other, ["form_id", "ox", "oy"]).filter(
+        (F.col("label") != F.col("other_label")) & (across < p.cluster_dx) & down)
+    met = staged(met.select("form_id", F.col("label").alias("a"), F.col("other_label").alias("b"), "cx", "cy", "step.side",
+                            "step.dy"), "neighbours")
+    sure = met.filter("dy = 0").select("form_id", "a", "b")
+    maybe = met.filter("dy = 1").drop("dy")
     pair = ["form_id", "cx", "cy", "side"]
     upper = columns.join(maybe, ["form_id", "cx", "cy"]).select(
         *pair, "a", "b", (F.col("side") * F.col("x") + p.cluster_dx).alias("at"), (F.col("low") + p.cluster_dy).alias("reach"),
@@ -84,15 +84,21 @@ def cluster_words(words: DataFrame, p: LayoutParams = DEFAULT) -> DataFrame:
     """Add ``cluster``: the lowest box_id reachable over steps of |dx| < cluster_dx and |dy| < cluster_dy on a form.
 
     Words are first put on a grid of that cell size. All words of one cell are mutual neighbours, so a cell is one node
-    however many words it holds, known by its lowest box_id, and only the eight cells around it can touch it. Touching cells
-    are linked in joins, and so are their components; no task sees a page."""
+    however many words it holds, and only the eight cells around it can touch it. Cells below one another touch if their
+    extremes do, so the runs of each column come from one pass down it. Runs, known by their lowest box_id, are linked in
+    joins, and so are their components; no task sees a page."""
     gx, gy = F.floor(F.col("x") / p.cluster_dx), F.floor(F.col("y") / p.cluster_dy)
     placed = words.withColumns({"cx": gx, "cy": gy})
     columns = staged(placed.groupBy("form_id", "cx", "cy", "x").agg(
         F.max("y").alias("low"), F.min("y").alias("high"), F.min("box_id").alias("label")), "columns")
-    cells = staged(columns.groupBy("form_id", "cx", "cy").agg(
+    cells = columns.groupBy("form_id", "cx", "cy").agg(
         F.min("label").alias("label"), F.min("x").alias("left"), F.max("x").alias("right"), F.min("high").alias("high"),
-        F.max("low").alias("low")), "cells")
+        F.max("low").alias("low"))
+    down = Window.partitionBy("form_id", "cx").orderBy("cy")
+    touches = (F.lag("cy").over(down) == F.col("cy") - 1) & (F.col("high") - F.lag("low").over(down) < p.cluster_dy)
+    cells = cells.withColumn("opens", F.when(touches, 0).otherwise(1)).withColumn("run", F.sum("opens").over(down))
+    lowest = F.min("label").over(Window.partitionBy("form_id", "cx", "run"))
+    cells = staged(cells.withColumn("label", lowest).drop("opens", "run"), "runs")
     roots = components(_cell_links(columns.drop("label"), cells, p))
     by_cell = cells.select("form_id", "cx", "cy", "label").join(
         roots.withColumnRenamed("node", "label"), ["form_id", "label"], "left")
