@@ -385,6 +385,12 @@ class Codec:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
+    def release(self) -> None:
+        """Give up all that tasks have taught it; a worker lives on after its task, and with it what it holds."""
+        self.forget()
+        self.transducer.reset()
+        self.transducer.fits.clear()
+
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.place = np.zeros(0, np.int64)
@@ -433,20 +439,23 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str = Splitter.PATTERN
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
-        for batch in batches:
-            for part in slices(batch, "text", ENCODE_SLICE):
-                data, offsets = text_bytes(part.column("text"))
-                ids, bounds = codec.encode(data, offsets)
-                rows = [ids[bounds[i]:bounds[i + 1]] for i in range(len(bounds) - 1)]
-                packed = [r.astype("<u4").tobytes() for r in rows]
-                decoded = [codec.vocabulary.decode(r) for r in rows]
-                whole = [d == data[offsets[i]:offsets[i + 1]].tobytes() for i, d in enumerate(decoded)]
-                columns = [part.column("key"), pa.array(np.diff(bounds), pa.int64())]
-                columns += [pa.array(packed, pa.binary())] * keep_ids
-                columns += [pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
-                            pa.array([hashlib.sha256(d).hexdigest() for d in decoded]), pa.array(whole)]
-                names = [key, "n_tokens"] + ["ids"] * keep_ids + ["ids_sha256", "decoded_sha256", "round_trip"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        try:
+            for batch in batches:
+                for part in slices(batch, "text", ENCODE_SLICE):
+                    data, offsets = text_bytes(part.column("text"))
+                    ids, bounds = codec.encode(data, offsets)
+                    rows = [ids[bounds[i]:bounds[i + 1]] for i in range(len(bounds) - 1)]
+                    packed = [r.astype("<u4").tobytes() for r in rows]
+                    decoded = [codec.vocabulary.decode(r) for r in rows]
+                    whole = [d == data[offsets[i]:offsets[i + 1]].tobytes() for i, d in enumerate(decoded)]
+                    columns = [part.column("key"), pa.array(np.diff(bounds), pa.int64())]
+                    columns += [pa.array(packed, pa.binary())] * keep_ids
+                    columns += [pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
+                                pa.array([hashlib.sha256(d).hexdigest() for d in decoded]), pa.array(whole)]
+                    names = [key, "n_tokens"] + ["ids"] * keep_ids + ["ids_sha256", "decoded_sha256", "round_trip"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            codec.release()
 
     return df.selectExpr(f"`{key}` AS key", f"`{column}` AS text").mapInArrow(run, fields)
 
