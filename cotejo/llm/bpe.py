@@ -28,6 +28,8 @@ TRANSITIONS = 600_000
 #: Distinct pieces whose ids are remembered before the memory is emptied.
 PIECES = 500_000
 ENCODE_SLICE = 4 << 20
+#: Ids that the streaming decoder takes at a time.
+DECODE_CHUNK = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -367,6 +369,11 @@ class Vocabulary:
         yield stream.close()
 
 
+    def read_back(self, ids: np.ndarray, chunk: int = DECODE_CHUNK) -> bytes:
+        """The bytes of a text's ids, through the streaming decoder."""
+        return "".join(self.decode_stream(ids[i:i + chunk] for i in range(0, len(ids), chunk))).encode()
+
+
 class Codec:
     """Encoder and decoder for one rank file; one per Python worker."""
 
@@ -446,7 +453,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str = Splitter.PATTERN
                     ids, bounds = codec.encode(data, offsets)
                     rows = [ids[bounds[i]:bounds[i + 1]] for i in range(len(bounds) - 1)]
                     packed = [r.astype("<u4").tobytes() for r in rows]
-                    decoded = [codec.vocabulary.decode(r) for r in rows]
+                    decoded = [codec.vocabulary.read_back(r) for r in rows]
                     whole = [d == data[offsets[i]:offsets[i + 1]].tobytes() for i, d in enumerate(decoded)]
                     columns = [part.column("key"), pa.array(np.diff(bounds), pa.int64())]
                     columns += [pa.array(packed, pa.binary())] * keep_ids
@@ -460,7 +467,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str = Splitter.PATTERN
     return df.selectExpr(f"`{key}` AS key", f"`{column}` AS text").mapInArrow(run, fields)
 
 
-def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", key: str = "doc_id", chunk: int = 4096) -> DataFrame:
+def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", key: str = "doc_id", chunk: int = DECODE_CHUNK) -> DataFrame:
     """Decode packed ids (as :func:`encode_texts` gives them) to ``text`` through the streaming decoder, ``chunk`` ids
     at a time. Null ids give null; bytes that are not UTF-8 become U+FFFD."""
     small_batches(df.sparkSession)
