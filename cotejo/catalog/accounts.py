@@ -293,6 +293,11 @@ def g14_compare_stages(spark, sf):
     return out.select("image_id", *[F.round(f"{k}_gain", 4).alias(f"{k}_gain") for k in quality.METRICS])
 
 
+def g14_edge_density(spark, sf):
+    """Small tiles, so that images fall into several."""
+    return quality.pixel_metrics(_pixels(spark, sf), size=4).select("image_id", "stage", F.round("edge_density", 6).alias("edge_density"))
+
+
 def l1_keys_by_creation(spark, sf):
     valid = account.key_valid(c("is_active"), c("revoked_at"), c("expires_at"), moment(AS_OF))
     return acc.keys(spark, sf).orderBy("user_id", F.desc("created_at"), "key_id").select("user_id", "key_id", "created_at", valid.alias("valid"))
@@ -534,6 +539,18 @@ SELECT image_id, round((b.sharpness - a.sharpness) / a.sharpness * 100, 4) AS sh
        round((b.brightness - a.brightness) / a.brightness * 100, 4) AS brightness_gain,
        round((a.noise_level - b.noise_level) / a.noise_level * 100, 4) AS noise_level_gain
 FROM metrics a JOIN metrics b USING (image_id) WHERE a.stage = 'original' AND b.stage = 'processed'"""),
+    "g14_edge_density": (g14_edge_density, "WITH" + _PIXELS + """,
+sobel AS (
+  SELECT p.image_id, p.stage, p.y, p.x, abs(sum(q.v * s.d * (2 - abs(s.e)))) AS vertical,
+         abs(sum(r.v * s.d * (2 - abs(s.e)))) AS sideways
+  FROM pixels p CROSS JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (1, -1), (1, 0), (1, 1)) s(d, e)
+  JOIN pixels q ON q.image_id = p.image_id AND q.stage = p.stage
+   AND q.y = 7 - abs(7 - abs(p.y + s.d)) AND q.x = 7 - abs(7 - abs(p.x + s.e))
+  JOIN pixels r ON r.image_id = p.image_id AND r.stage = p.stage
+   AND r.y = 7 - abs(7 - abs(p.y + s.e)) AND r.x = 7 - abs(7 - abs(p.x + s.d))
+  GROUP BY p.image_id, p.stage, p.y, p.x)
+SELECT image_id, stage, round(avg(CASE WHEN vertical + sideways >= 400 THEN 1e0 ELSE 0e0 END), 6) AS edge_density
+FROM sobel GROUP BY image_id, stage"""),
     "g15_usage_counters": (g15_usage_counters, with_accounts("""
 SELECT user_id, resource, period_type, date_trunc(unit, created_at) AS period_start,
        CASE unit WHEN 'hour' THEN date_trunc(unit, created_at) + INTERVAL 1 HOUR

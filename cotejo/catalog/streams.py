@@ -50,6 +50,7 @@ def x3_first_readings(spark, sf):
 
 
 def x4_last_used(spark, sf):
+    """An event of type ``error`` is a refused request, which is no use of a key."""
     path = f"{checkpoint_root(spark)}/cotejo-last-used-{uuid.uuid4().hex}"
     requests = _stream(spark, sf).filter(c("event_type") != "error").select(c("user_id").alias("key_id"), "ts")
     jobs.keep_last_used(requests, path)

@@ -4,6 +4,7 @@ import difflib
 import random
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from cotejo.functions import account, geometry, ident, sequences, text as tx
@@ -152,3 +153,20 @@ def test_sequence_ratio_equals_difflib():
 def test_sequence_ratio_of_null(spark):
     df = spark.createDataFrame([("12", None), (None, "3"), (None, None), ("", ""), ("12", "21")], "a string, b string")
     assert [r[0] for r in df.select(tx.sequence_ratio(F.col("a"), F.col("b"))).collect()] == [None, None, None, 1.0, 0.5]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=30) | st.text("abc12", max_size=40), st.text("ab", max_size=30) | st.text("abc12é", max_size=40))
+def test_automata_match_like_the_standard_library(a, b):
+    blocks = difflib.SequenceMatcher(None, a, b, False).get_matching_blocks()
+    assert sequences.matched_long(a, b) == sum(m.size for m in blocks) == sequences.matched([a], [b])[0]
+
+
+def test_ratios_of_long_pairs():
+    rng = random.Random(3)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    b = a[:400] + "".join(rng.choice("abcdefgh ") for _ in range(300)) + a[500:]
+    want = difflib.SequenceMatcher(None, a, b, False).ratio()
+    assert sequences.ratios([a, "x", a], [b, "x", ""]).tolist() == [want, 1.0, 0.0]
+    far = "ab" * 20_000
+    assert sequences.ratios([far], [far[1:]])[0] == 2 * (len(far) - 1) / (2 * len(far) - 1)

@@ -5,10 +5,11 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.operators import constraints, metadata, metering
+from cotejo.operators import constraints, metadata, metering, quality
 from cotejo.operators.reconcile import dedupe_best
 from cotejo.sources import documents, responses, sinks
 from cotejo.sources.snapshots import BucketedTable
@@ -208,3 +209,24 @@ def test_table_rules(spark):
     assert constraints.violations({k: v.limit(0) for k, v in tables.items()}).count() == 0
     with pytest.raises(ValueError):
         constraints.violations({"users": spark.range(1).select(F.col("id").alias("x"))})
+
+
+# --- image metrics over tiles -------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("height, width, size", [(3, 3, 1), (11, 7, 4), (9, 9, 3), (17, 5, 128)])
+def test_tiles_of_any_size_give_the_metrics_of_the_image(spark, height, width, size):
+    rng = np.random.default_rng(height)
+    image = rng.integers(0, 256, (height, width))
+    pixels = spark.createDataFrame([(1, "s", y, x, int(image[y, x])) for y in range(height) for x in range(width)],
+                                   "image_id bigint, stage string, y bigint, x bigint, v bigint")
+    got = quality.pixel_metrics(pixels, size, 300).first()
+    p = np.pad(image, 2, "reflect").astype(float)
+    at = lambda dy, dx: p[2 + dy:height + 2 + dy, 2 + dx:width + 2 + dx]
+    laplacian = at(-1, 0) + at(1, 0) + at(0, -1) + at(0, 1) - 4 * image
+    taps = (1, 4, 6, 4, 1)
+    blur = sum(a * b * at(i - 2, j - 2) for i, a in enumerate(taps) for j, b in enumerate(taps))
+    sobel = [sum((2 - abs(e)) * d * (at(d, e) if k else at(e, d)) for d in (-1, 1) for e in (-1, 0, 1)) for k in (0, 1)]
+    assert got.sharpness == pytest.approx(laplacian.var()) and got.contrast == pytest.approx(image.std())
+    assert got.brightness == pytest.approx(image.mean())
+    assert got.noise_level == pytest.approx(np.abs(image - np.floor((blur + 128) / 256)).mean())
+    assert got.edge_density == pytest.approx((abs(sobel[0]) + abs(sobel[1]) >= 300).mean())
+    assert quality.pixel_metrics(pixels.limit(0)).count() == 0
