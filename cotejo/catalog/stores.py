@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cotejo.catalog import accounts, layout
 from cotejo.catalog.accounts import AS_OF, moment
-from cotejo.operators import constraints, metadata, metering
+from cotejo.operators import constraints, metadata
 from cotejo.plans import derive, derive_accounts as acc
 from cotejo.plans.derive_accounts import with_accounts
 from cotejo.session import checkpoint_root

@@ -39,10 +39,3 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 _LOCAL_ROOT: str | None = None
-
-
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at :func:`checkpoint_root` unless a folder is already set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_root(spark))
