@@ -9,8 +9,8 @@ Links are found in two rounds, so that a group of copies never gives all its pai
 
 1. In each list, every class meets the list's most connected one. Union sketches filter, full sets confirm.
 2. Lists with the same first value and the same most connected class are joined into one, and of lists with the same
-   members one is kept. Those whose classes are not in one component yet compare the classes outside the largest component
-   with the others block by block; a task reports no pair whose ends are already connected.
+   members one is kept. Where classes are not in one component yet, those outside the largest component are held block by
+   block while the others pass; a task reports no pair whose ends are already connected.
 
 Components of the confirmed links are the result.
 """
@@ -23,7 +23,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cotejo.llm.graph import components
 from cotejo.llm.textops import mix, row_shingles, slices, small_batches, text_bytes, word_hashes, word_spans
@@ -39,8 +39,10 @@ SKETCH = 64
 BROADCAST_ROWS = 500_000
 #: Values that round 2 compares; sets up to this size are compared whole.
 WIDE_SKETCH = 512
-BLOCK = 512
-COLUMNS = 4096
+#: Classes of a block that one task holds, and of the largest component that pass it by.
+BLOCK = 1024
+STREAM = 16_384
+COLUMNS = 2048
 _LOW = np.uint64(0xFFFFFFFF)
 _CODES = np.random.default_rng(8).integers(1, 2**63 - 1, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -162,8 +164,9 @@ def _common(values: list[np.ndarray], left: np.ndarray) -> np.ndarray:
 
 
 def _compare_group(roots: list[bytes], minor: np.ndarray, self_too: bool, values: list[np.ndarray], sizes: np.ndarray,
-                   percent: int) -> list[tuple[int, int, bool]]:
-    """Pairs of one block: (row, row, certain). Certain links only as far as they connect something."""
+                   percent: int, parent: dict[bytes, bytes]) -> list[tuple[int, int, bool]]:
+    """Pairs of a block: (row, row, certain). Certain links only as far as they connect something; ``parent`` remembers what
+    they have connected."""
     length = np.array([len(v) for v in values])
     left = np.flatnonzero(minor)
     common = _common(values, left)
@@ -181,7 +184,8 @@ def _compare_group(roots: list[bytes], minor: np.ndarray, self_too: bool, values
     sized = np.minimum(sizes[left][:, None], sizes) * 100 >= np.maximum(sizes[left][:, None], sizes) * percent
     passed = sized & np.where(certain, common * 100 >= percent * union,
                               share >= percent - 100 * margin(WIDE_SKETCH, percent / 100))
-    parent = {r: r for r in roots}
+    for r in roots:
+        parent.setdefault(r, r)
 
     def find(r: bytes) -> bytes:
         while parent[r] != r:
@@ -205,50 +209,61 @@ def _compare_group(roots: list[bytes], minor: np.ndarray, self_too: bool, values
 
 
 def _second_round(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, certain`` from lists (``key, cls, root``) with more than one component."""
+    """``a, b, certain`` from lists (``key, cls, root``) with more than one component.
+
+    The classes outside a list's largest component fall into blocks. A task holds one block and lets pass by the classes of
+    the largest component, in streams if there are very many, and those of the later blocks; so a class outside is copied
+    once for each earlier block, and one inside once for each block."""
     spread = lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     parts = lists.join(spread, "key").groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("all"))
     largest = largest.select("key", F.col("top.root").alias("major_root"),
-                             F.ceil(F.col("top.m") / BLOCK).cast("int").alias("majors"),
-                             F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.m")) / BLOCK)).cast("int").alias("minors"))
+                             F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("blocks"),
+                             F.ceil(F.col("top.m") / STREAM).cast("int").alias("streams"))
     rows = lists.join(largest, "key").withColumn("minor", F.col("root") != F.col("major_root"))
-    block = F.pmod(F.xxhash64("cls"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors")).cast("long"))
-    rows = rows.withColumn("block", block.cast("int"))
-    every_minor = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: F.struct(
-        i.alias("i"), F.col("block").alias("j")))
-    with_major = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda j: F.struct(
-        F.col("block").alias("i"), j.alias("j")))
-    with_minor = F.transform(
-        F.filter(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: i != F.col("block")),
-        lambda i: F.struct(F.least(i, F.col("block")).alias("i"), (F.col("majors") + F.greatest(i, F.col("block"))).alias("j")))
-    placed = rows.withColumn("at", F.explode(
-        F.when(F.col("minor"), F.concat(with_major, with_minor)).otherwise(every_minor)))
-    placed = placed.select("cls", "root", "minor", "block", F.xxhash64("key", "at.i", "at.j").alias("grp"), "key",
-                           F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+    code = F.xxhash64("cls")
+    rows = rows.withColumns({"block": F.pmod(code, F.col("blocks").cast("long")).cast("int"),
+                             "stream": F.pmod(code, F.col("streams").cast("long")).cast("int")})
+
+    def spot(i, s, own: bool) -> Column:
+        return F.struct(i.alias("i"), s.alias("s"), F.lit(own).alias("own"))
+
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    held = F.transform(F.sequence(F.lit(0), F.col("streams") - 1), lambda s: spot(F.col("block"), s, True))
+    passing = F.transform(F.filter(every, lambda i: i < F.col("block")), lambda i: spot(i, F.lit(0), False))
+    placed = rows.withColumn("at", F.explode(F.when(F.col("minor"), F.concat(held, passing)).otherwise(
+        F.transform(every, lambda i: spot(i, F.col("stream"), False)))))
+    placed = placed.select("cls", "root", F.xxhash64("key", "at.i", "at.s").alias("grp"), "key", "at.i", "at.s", "at.own")
     wide = sets.select("cls", F.col("n").alias("size"), F.substring("full", 1, 8 * WIDE_SKETCH).alias("sketch"))
     placed = placed.join(wide, "cls")
     cut = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.repartition(cut * 2, "grp").sortWithinPartitions("grp", "key", "i", "j")
+    placed = placed.repartition(cut * 2, "grp").sortWithinPartitions("grp", "key", "i", "s", F.desc("own"))
 
     def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*[batch.column(c).to_pylist() for c in (
-                "key", "i", "j", "cls", "root", "minor", "block", "size", "sketch")])
+            yield from zip(*[batch.column(c).to_pylist() for c in ("key", "i", "s", "own", "cls", "root", "size", "sketch")])
+
+    def compared(group: list[tuple], own: int, parent: dict) -> list[tuple[bytes, bytes, bool]]:
+        minor = np.arange(len(group)) < own
+        pairs = _compare_group([r[5] for r in group], minor, own == len(group), [np.frombuffer(r[7], "<u8") for r in group],
+                               np.array([r[6] for r in group]), percent, parent)
+        return [(group[x][4], group[y][4], sure) for x, y, sure in pairs]
+
+    most = BLOCK
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[bytes, bytes, bool]] = []
-        for (_, i, j), group in groupby(rows_of(batches), lambda r: r[:3]):
-            group = list(group)
-            majors = any(not r[5] for r in group)
-            # A block of minors meets itself where it meets the first block of majors; other minor blocks are two-sided.
-            minor = np.array([r[5] and r[6] == i for r in group])
-            if not minor.any() or len(group) < 2:
-                continue
-            pairs = _compare_group([r[4] for r in group], minor, majors and j == 0,
-                                   [np.frombuffer(r[8], "<u8") for r in group],
-                                   np.array([r[7] for r in group]), percent)
-            found += [(group[x][3], group[y][3], sure) for x, y, sure in pairs]
+        for (_, _, s), group in groupby(rows_of(batches), lambda r: r[:3]):
+            own, others, parent = [], [], {}
+            for r in group:
+                (own if r[3] else others).append(r)
+                if len(others) == most:
+                    found += compared(own + others, len(own), parent) if own else []
+                    others = []
+            if own and others:
+                found += compared(own + others, len(own), parent)
+            if len(own) > 1 and s == 0:
+                found += compared(own, len(own), parent)
             if len(found) > 10_000:
                 yield _pairs(found)
                 found = []
@@ -297,6 +312,24 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return first.union(alone.select(first.columns)).toDF("doc_id", "text_digest", "linked", "copies")
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the smallest doc_id (null last), and of several texts or rows of
+    that id in the group a single one. Texts without words are in no group, and all stay."""
+    kept = staged(representatives(docs, words, percent), "near-kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_digest").alias("_digest"), "linked", "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_digest(docs.text) == F.col("_digest"))
+    out = docs.join(kept.filter("NOT linked OR copies = 1"), same, "left_semi")
+    repeated = kept.filter("linked AND copies > 1")
+    several = repeated.count()
+    if several:
+        # Rows that repeat an id and its text may differ elsewhere; the choice does not depend on their order.
+        rows = docs.join(F.broadcast(repeated) if several <= BROADCAST_ROWS else repeated, same, "left_semi")
+        one = rows.groupBy(F.col("doc_id").alias("_id"), text_digest(rows.text).alias("_digest")).agg(
+            F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+        out = out.union(one.select("_row.*"))
+    return out
+
+
 def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``doc_id, text_hash, n_shingles, root`` for every row; rows of one root are near-duplicates."""
     if not 80 <= percent <= 100:
