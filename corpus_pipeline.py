@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cotejo.llm import bpe, mixing, near, suffix, toxicity
-from cotejo.plans.staging import discard_staged, staged, written
+from cotejo.plans.staging import discard_staged, written
 from cotejo.session import checkpoint_root
 
 #: Bytes from which on a passage counts as repeated here; passages of 50 words are a little longer.
@@ -41,21 +41,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the smallest id (null last), and of several texts or rows of that id in the
-    group a single one. Texts without words are in no group, and all stay."""
-    kept = staged(near.representatives(docs), "near-kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_digest").alias("_digest"), "linked", "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (near.text_digest(docs.text) == F.col("_digest"))
-    out = docs.join(kept.filter("NOT linked OR copies = 1"), same, "left_semi")
-    repeated = kept.filter("linked AND copies > 1")
-    several = repeated.count()
-    if several:
-        # Rows that repeat an id and its text may differ elsewhere; the choice does not depend on their order.
-        rows = docs.join(F.broadcast(repeated) if several <= near.BROADCAST_ROWS else repeated, same, "left_semi")
-        one = rows.groupBy(F.col("doc_id").alias("_id"), near.text_digest(rows.text).alias("_digest")).agg(
-            F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
-        out = out.union(one.select("_row.*"))
-    return out
+    """One row of each group of near-duplicates."""
+    return near.without_near_duplicates(docs)
 
 
 @stage
@@ -86,13 +73,19 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("rep
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder before the next one starts."""
+    """All stages over ``documents``; each one's result is written to the shared folder before the next one starts, and the
+    one before it goes then. The last one's stays for the reader."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
+    folder, before = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}", None
     for number, (name, function) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         function(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(before)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        before = path
+    discard_staged(spark, _LEFT)
     return docs
 
 
