@@ -11,7 +11,7 @@ blocks of nodes, so vectors move once per block and not once per pair. Final sco
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,15 @@ LEAF = 4096
 NEIGHBOURS = 40
 #: Neighbours of a node that meet in one round, at most.
 MEET = 20
-ROUNDS = 2
+#: Rounds of neighbours of neighbours end when fewer than this share of all neighbours are new, and at the latest after these.
+SETTLED = 0.002
+ROUNDS = 4
 BEAM = 100
 EXPAND = 40
 HOPS = 3
 BLOCK = 512
 
-_NODE = "node bigint, vec binary, near binary, sims binary"
+_NODE = "node bigint, vec binary, near binary, sims binary, fresh int"
 
 
 def _rows(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple]:
@@ -145,7 +147,7 @@ def neighbour_graph(nodes: DataFrame, count: int, k: int = NEIGHBOURS, trees: in
     def meet_in_leaf(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for _, group in groupby(_rows(batches, ("leaf", "node", "vec")), lambda r: r[0]):
-                while held := [r for r, _ in zip(group, range(2 * LEAF))]:
+                while held := list(islice(group, 2 * LEAF)):
                     ids = np.array([r[1] for r in held])
                     x = _matrix([r[2] for r in held])
                     for at in range(0, len(held), 512):
@@ -162,13 +164,15 @@ def neighbour_graph(nodes: DataFrame, count: int, k: int = NEIGHBOURS, trees: in
     dealt = _dealt(nodes.mapInArrow(deal, "leaf bigint, node bigint, vec binary"), parts, "leaf")
     first = dealt.mapInArrow(meet_in_leaf, "node bigint, near binary, sims binary")
     graph = _merged(nodes, first, k, parts, "graph-0")
-    for step in range(rounds if leaves > 1 else 0):
+    for step in range(rounds):
         graph = _merged(graph, _met(graph, seed + step, parts), k, parts, f"graph-{step + 1}")
+        if (graph.agg(F.sum("fresh")).first()[0] or 0) <= SETTLED * k * count:
+            break
     return graph
 
 
 def _merged(nodes: DataFrame, news: DataFrame, k: int, parts: int, name: str) -> DataFrame:
-    """The nodes with the best of their neighbours so far and the new ones."""
+    """The nodes with the best of their neighbours so far and the new ones, and ``fresh``, how many of them are new."""
     old = nodes if "near" in nodes.columns else nodes.withColumns(
         {"near": F.lit(None).cast("binary"), "sims": F.lit(None).cast("binary")})
     both = old.select("node", "vec", "near", "sims").union(
@@ -177,9 +181,10 @@ def _merged(nodes: DataFrame, news: DataFrame, k: int, parts: int, name: str) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for node, group in groupby(_rows(batches, ("node", "vec", "near", "sims")), lambda r: r[0]):
-                vec, ids, sims = None, [], []
+                vec, ids, sims, old = None, [], [], np.zeros(0, np.int64)
                 for _, v, near, sim in group:
-                    vec = v if v is not None else vec
+                    if v is not None:
+                        vec, old = v, old if near is None else np.frombuffer(near, np.int64)
                     if near is not None:
                         ids.append(np.frombuffer(near, np.int64))
                         sims.append(np.frombuffer(sim, np.float32))
@@ -187,25 +192,27 @@ def _merged(nodes: DataFrame, news: DataFrame, k: int, parts: int, name: str) ->
                     continue
                 best = _best(np.concatenate(ids), np.concatenate(sims), k) if ids else (np.zeros(0, np.int64),
                                                                                        np.zeros(0, np.float32))
-                yield node, vec, best[0].tobytes(), best[1].tobytes()
+                yield node, vec, best[0].tobytes(), best[1].tobytes(), len(best[0]) - int(np.isin(best[0], old).sum())
         yield from _collected(rows(), [("node", pa.int64()), ("vec", pa.binary()), ("near", pa.binary()),
-                                       ("sims", pa.binary())])
+                                       ("sims", pa.binary()), ("fresh", pa.int32())])
 
     return staged(_dealt(both, parts, "node").mapInArrow(run, _NODE), name)
 
 
 def _edges(graph: DataFrame, both_ways: bool) -> DataFrame:
-    """``at, other`` for every neighbour of every node, and for the reverse direction."""
+    """``at, other`` for every neighbour of every node, and for the reverse direction, which is ``back``."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [np.frombuffer(b, np.int64) for b in batch.column("near").to_pylist()]
             other = np.concatenate([*near, np.zeros(0, np.int64)])
             at = np.repeat(batch.column("node").to_numpy(), [len(n) for n in near])
+            back = np.zeros(len(at), bool)
             if both_ways:
                 at, other = np.concatenate((at, other)), np.concatenate((other, at))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(other)], names=["at", "other"])
+                back = np.append(back, ~back)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(other), pa.array(back)], names=["at", "other", "back"])
 
-    return graph.select("node", "near").mapInArrow(run, "at bigint, other bigint")
+    return graph.select("node", "near").mapInArrow(run, "at bigint, other bigint, back boolean")
 
 
 def _met(graph: DataFrame, seed: int, parts: int) -> DataFrame:
@@ -363,9 +370,11 @@ def search(queries: DataFrame, graph: DataFrame, count: int, hops: int = HOPS, e
 
 
 def _limited(edges: DataFrame) -> DataFrame:
-    """``at, others``: the neighbours of every node in both directions, a hub's reverse ones thinned by chance."""
-    place = F.row_number().over(W.partitionBy("at").orderBy(F.xxhash64("at", "other")))
-    return (edges.distinct().withColumn("place", place).filter(F.col("place") <= 2 * NEIGHBOURS)
+    """``at, others``: the neighbours of every node in both directions; of a hub's reverse ones only as many as it has room for
+    beside its own, by chance."""
+    once = edges.groupBy("at", "other").agg(F.min("back").alias("back"))
+    place = F.row_number().over(W.partitionBy("at").orderBy("back", F.xxhash64("at", "other")))
+    return (once.withColumn("place", place).filter(F.col("place") <= 2 * NEIGHBOURS)
             .groupBy("at").agg(F.collect_list("other").alias("others")))
 
 
@@ -378,8 +387,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
     ``k + 1`` all others are returned; an empty table gives an empty one. Other columns are not read.
     """
     rows = staged(usable(vectors, key, column).distinct(), "vectors")
-    members = rows.withColumn("node", F.min("vec_id").over(W.partitionBy("embedding")))
-    members = staged(members.select("vec_id", "node"), "vector-members")
+    lowest = rows.groupBy("embedding").agg(F.min("vec_id").alias("node"))
+    members = staged(rows.join(lowest, "embedding").select("vec_id", "node"), "vector-members")
     longest = rows.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), F.count(F.lit(1))).first()
     bound, count = float(longest[0] or 1.0), int(longest[1])
 
