@@ -47,20 +47,23 @@ def targets(sizes: DataFrame, share: float, cycle: tuple[float, ...], cap: float
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5,
-                cycle: tuple[float, ...] = (3.0, 1.0, 2.0), cap: float = 2.0, seed: str = "mix") -> DataFrame:
+                cycle: tuple[float, ...] = (3.0, 1.0, 2.0), cap: float = 2.0, seed: str = "mix", digest: bool = False) -> DataFrame:
     """One row per input row: the key, ``size`` (words; 0 for a null text), ``source``, ``source_size``, ``target`` of its
     source, and ``taken``, the words the mix takes from it, repeats counted.
 
     ``taken`` sums to the target of each source, to the word. A null source is a source of its own, last in order; null
     keys draw like a key of their own; rows of equal key and size are interchangeable. A document without words takes 0,
-    as does everything when all are empty. An empty table gives an empty one; other columns are not read.
+    as does everything when all are empty. An empty table gives an empty one; other columns are not read. ``digest`` adds
+    ``text_digest``, which tells rows of equal key, source and size apart.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), body.alias("body"))
+    told = ["text_digest"] * digest
     rows = rows.withColumn("size", F.regexp_count("body", F.lit(WORD)).cast("long"))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("-")), F.col("size")))
-    draw = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
-    rows = staged(rows.select("key", "source", "size", (
+    code = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("-")), F.col("size")))
+    draw = (F.conv(F.substring(code, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
+    rows = rows.withColumns({c: F.xxhash64("body") for c in told})
+    rows = staged(rows.select("key", "source", "size", *told, (
         -F.log(draw) / quality_weight(F.col("body"), F.col("size"))).alias("draw")), "mix-rows")
 
     steps = [F.lit((i + 1) / CELLS) for i in range(CELLS)]
@@ -84,25 +87,27 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     earlier = W.partitionBy("source").orderBy("cell", "part").rowsBetween(W.unboundedPreceding, -1)
     bins = bins.select(F.col("source").alias("of"), F.col("cell").alias("c"), F.col("part").alias("p"),
                        F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("bin_before"))
-    within = W.partitionBy("source", "cell", "part").orderBy("draw", "key", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "cell", "part").orderBy("draw", "key", "size", *told).rowsBetween(W.unboundedPreceding, -1)
     placed = binned.withColumn("row_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(bins, F.col("source").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("c"))
                          & (F.col("part") == F.col("p")))
     left = F.col("rest") - F.col("bin_before") - F.col("row_before")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
     return placed.select(F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target",
-                         taken.cast("long").alias("taken"))
+                         taken.cast("long").alias("taken"), *told)
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document appears once for each whole time the mix takes it, and once
-    more if at least half of it is left over. Rows that share a key appear as often as the mix takes all of them together,
-    spread evenly. A row with a null key appears once if its source has a target of at least its size."""
-    counts = mix_sources(docs, key=key, **options)
+    more if at least half of it is left over. Rows that share key, source and text appear as often as the mix takes all of
+    them together, spread evenly."""
+    counts = mix_sources(docs, key=key, source=source, text=text, digest=True, **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
-    per_key = (counts.withColumn("times", times).groupBy(key)
-               .agg(F.round(F.avg("times")).cast("int").alias("_times")).withColumnRenamed(key, "_key"))
-    kept = docs.join(per_key.filter("_times > 0"), F.col(key).eqNullSafe(F.col("_key")))
+    same = (counts.withColumn("times", times).groupBy(key, source, "text_digest")
+            .agg(F.round(F.avg("times")).cast("int").alias("_times")).toDF("_key", "_source", "_digest", "_times"))
+    met = (F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source"))
+           & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_digest")))
+    kept = docs.join(same.filter("_times > 0"), met)
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 

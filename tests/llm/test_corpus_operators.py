@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.llm import mixing, near, neighbours, passages, queries, simhash, suffix
+from cotejo.llm import mixing, near, neighbours, passages, queries, simhash, suffix, training
 from cotejo.llm.graph import components
 from tests import oracle
 
@@ -85,6 +85,24 @@ def test_second_round_links_what_the_first_cannot(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 4)
 
 
+def test_long_lists_in_blocks_and_streams(spark, monkeypatch):
+    """Copies with some words changed, a few too many to link with most, and unlike texts around one passage."""
+    monkeypatch.setattr(near, "BLOCK", 4)
+    monkeypatch.setattr(near, "STREAM", 16)
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(160)]
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for _ in range(draw.choice((1, 2, 3, 6, 8, 12))):
+            words[draw.randrange(160)] = f"x{draw.randrange(1000)}"
+        rows.append((k, " ".join(words), "s"))
+    rows += [(100 + k, passage + " " + " ".join(f"u{k // 2}{i}" for i in range(30 + k % 2)), "s") for k in range(40)]
+    got = near.near_duplicates(spark.createDataFrame(rows, DOCS), 4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 4)
+
+
 @pytest.mark.parametrize("nested", [True, False])
 def test_pairs_at_the_threshold_share_a_list(nested):
     """Sets of which one holds the other (a passage was added), and sets with values of their own, at 0.8 exactly."""
@@ -415,3 +433,26 @@ def test_mixed_documents_repeat_rows(spark):
     times = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     for r in mixing.mix_sources(df).collect():
         assert times.get(r.doc_id, 0) == (int(r.taken / r.size + .5) if r.size else 0)
+
+
+def test_mixed_sources_meet_their_targets_whatever_the_ids(spark):
+    """Null and repeated ids in several sources: each source's words come near its target all the same."""
+    draw = random.Random(4)
+    rows = [(draw.choice((None, 7, i)), " ".join(f"w{draw.randrange(99)}" for _ in range(draw.randint(1, 9))), f"s{i % 3}")
+            for i in range(900)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = defaultdict(int)
+    for r in mixing.mixed_documents(df).collect():
+        got[r.source] += len(r.text.split())
+    goal = {r.source: r.target for r in mixing.mix_sources(df).select("source", "target").distinct().collect()}
+    assert set(got) == set(goal) and all(abs(got[s] - goal[s]) <= 0.02 * goal[s] + 9 for s in goal)
+
+
+def test_labelled_rows_are_bounded_by_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "s") for i in range(50)] + [(2, None, "s"), (3, "c", "s"), (None, "n", "s")], DOCS)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (None, 1), (6, None)], "doc_id bigint, quality int")
+    got = training.labelled(docs, labels, "quality")
+    chosen = [r for r in got.collect()]
+    held = {r.doc_id for r in docs.filter(training.held_out()).select("doc_id").collect()}
+    assert sorted((r.doc_id, r.label) for r in chosen) == [x for x in [(1, 1), (3, 0)] if x[0] not in held]
+    assert sorted(map(str, chosen)) == sorted(map(str, training.labelled(docs.repartition(5), labels, "quality").collect()))
