@@ -13,6 +13,7 @@ together, one byte per step, with array operations.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from cotejo.llm.textops import slices, small_batches, text_bytes, word_hashes
 
 #: Transitions kept before the automaton starts afresh; one slice adds at most one per byte.
-TRANSITIONS = 600_000
+TRANSITIONS = 300_000
 #: Distinct pieces whose ids are remembered before the memory is emptied.
 PIECES = 500_000
-ENCODE_SLICE = 4 << 20
+ENCODE_SLICE = 2 << 20
 #: Ids that the streaming decoder takes at a time.
 DECODE_CHUNK = 4096
 
@@ -375,7 +376,7 @@ class Vocabulary:
 
 
 class Codec:
-    """Encoder and decoder for one rank file; one per Python worker."""
+    """Encoder and decoder for one rank file; one for the tasks that a Python worker runs at a time."""
 
     _made: dict[tuple[str, str], "Codec"] = {}
 
@@ -392,11 +393,12 @@ class Codec:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
-    def release(self) -> None:
-        """Give up all that tasks have taught it; a worker lives on after its task, and with it what it holds."""
-        self.forget()
-        self.transducer.reset()
-        self.transducer.fits.clear()
+    @classmethod
+    def release(cls) -> None:
+        """Give up the codecs and what Arrow holds in reserve; a worker lives on after its task, and with it what it holds."""
+        cls._made.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
@@ -462,7 +464,8 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str = Splitter.PATTERN
                     names = [key, "n_tokens"] + ["ids"] * keep_ids + ["ids_sha256", "decoded_sha256", "round_trip"]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
         finally:
-            codec.release()
+            del codec
+            Codec.release()
 
     return df.selectExpr(f"`{key}` AS key", f"`{column}` AS text").mapInArrow(run, fields)
 
