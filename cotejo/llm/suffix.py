@@ -8,7 +8,9 @@ anchors meet in Spark by hash:
 2. Contexts of one anchor that differ go to one task as bytes. There the suffixes are put in order by prefix doubling up to
    ``length``; in that order, the previous and next suffix of the same run with a smaller position are the longest
    previous factors, which tell the first occurrence from the later ones.
-3. An anchor with very many different contexts is not gathered: its strings meet by their own hash, combined map-side.
+3. An anchor with very many different contexts is not gathered. Equal strings have their anchor at the same place, so the
+   contexts are split by where a string has it, in classes that double, and by the bytes that all strings of a class have
+   around it. What then still meets others meets string by string, by hash, combined map-side.
 
 Texts that are equal are one class all along, so copies add rows only where they are counted.
 """
@@ -154,12 +156,12 @@ def _anchored(texts: DataFrame, length: int) -> DataFrame:
 
 def _context_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``wanted`` (one row per context, with its text) joined with the texts and cut out of them."""
-    per_text = wanted.groupBy("txt", "doc").agg(F.collect_list(F.struct("anchor", "context", "first", "n")).alias("cuts"))
+    per_text = wanted.groupBy("txt", "doc").agg(F.collect_list(F.struct("anchor", "context", "first", "n", "anchor_at")).alias("cuts"))
     per_text = staged(per_text.select(F.col("txt").alias("t"), F.col("doc").alias("d"), "cuts"), "suffix-wanted")
     joined = texts.join(per_text, (F.col("txt") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
     cut = joined.select("txt", "doc_id", F.col("text").cast("binary").alias("text"), F.explode("cuts").alias("cut"))
     return cut.select(
-        "cut.anchor", "cut.context", "txt", F.col("doc_id").alias("doc"), "cut.first", "cut.n",
+        "cut.anchor", "cut.context", "txt", F.col("doc_id").alias("doc"), "cut.first", "cut.n", "cut.anchor_at",
         F.substring(F.col("text"), F.col("cut.first") + 1, F.col("cut.n") + length - 1).alias("bytes"),
     ).dropDuplicates(["anchor", "context"])
 
@@ -207,21 +209,66 @@ def _by_suffix_order(groups: DataFrame, length: int, keep_first: bool) -> DataFr
     return groups.select(*columns).repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(run, _FOUND)
 
 
+def place_classes(length: int) -> list[tuple[int, int]]:
+    """Ranges [low, high] of the bytes that a string has before its anchor: doubling from both ends to the middle."""
+    half, out, low = length // 2, [(0, 0)], 1
+    while low <= half:
+        out.append((low, min(2 * low - 1, half)))
+        low *= 2
+    behind, low = [], 1
+    while low < length - half:
+        behind.append((length - min(2 * low - 1, length - half - 1), length - low))
+        low *= 2
+    return out + behind[::-1] + [(length, length)]
+
+
+def _split(groups: DataFrame, length: int) -> DataFrame:
+    """``groups`` with ``spots``, the ranges of its string starts that may occur in another context of the anchor. Without any
+    a context goes."""
+    classes = place_classes(length)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, (raw, n, q) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("bytes", "n", "anchor_at")])):
+                data = np.frombuffer(raw, np.uint8)
+                one, two = Rolling(data, 0), Rolling(data, 1)
+                for k, (low, high) in enumerate(classes):
+                    most, least = min(high, q), max(low, q - n + 1)
+                    if least <= most:
+                        start, end = np.array([q - low]), np.array([q + length - high])
+                        rows.append((i, k, int(one.of(start, end).view(np.int64)[0]), int(two.of(start, end).view(np.int64)[0]),
+                                     q - most, q - least + 1))
+            columns = list(zip(*rows)) or [()] * 6
+            at = pa.array(columns[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("anchor").take(at), batch.column("context").take(at)]
+                + [pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                names=["anchor", "context", "k", "one", "two", "at", "upto"])
+
+    parts = staged(groups.select("anchor", "context", "bytes", "n", "anchor_at").mapInArrow(
+        run, "anchor bigint, context bigint, k int, one bigint, two bigint, at int, upto int"), "suffix-classes-of-place")
+    key = ["anchor", "k", "one", "two"]
+    met = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    spots = parts.join(met, key).groupBy("anchor", "context").agg(F.collect_list(F.struct("at", "upto")).alias("spots"))
+    return groups.join(spots, ["anchor", "context"])
+
+
 def _by_string_hash(groups: DataFrame, length: int, keep_first: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (raw, n) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("n").to_pylist())):
+            for i, (raw, spots) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("spots").to_pylist())):
                 data = np.frombuffer(raw, np.uint8)
-                at = np.arange(n)
+                at = np.concatenate([np.arange(s["at"], s["upto"]) for s in spots])
                 one, two = Rolling(data, 0).of(at, at + length), Rolling(data, 1).of(at, at + length)
-                same = pa.array(np.full(n, i))
+                same = pa.array(np.full(len(at), i))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(at, pa.int32()),
                      *[batch.column(c).take(same) for c in ("anchor", "context", "doc", "txt", "first")]],
                     names=["one", "two", "at", "anchor", "context", "doc", "txt", "first"])
 
     kind = groups.schema["doc"].dataType.simpleString()
-    strings = groups.select("anchor", "context", "doc", "txt", "first", "n", "bytes").mapInArrow(
+    strings = _split(groups, length).select("anchor", "context", "doc", "txt", "first", "spots", "bytes").mapInArrow(
         run, f"one bigint, two bigint, at int, anchor bigint, context bigint, doc {kind}, txt binary, first int")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "txt", (F.col("first") + F.col("at")).alias("p"))
     strings = strings.withColumn("place", place)
@@ -238,11 +285,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     stats = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("context").alias("lo"),
                                        F.max("context").alias("hi")).filter("m > 1")
     met = rows.join(stats.select("anchor", (F.col("lo") != F.col("hi")).alias("open")), "anchor")
-    met = met.groupBy("anchor", "context", "open", "txt", "first", "n").agg(F.count(F.lit(1)).alias("copies"))
+    met = met.groupBy("anchor", "context", "open", "txt", "first", "n", "anchor_at").agg(F.count(F.lit(1)).alias("copies"))
     owner = docs.groupBy("txt").agg(F.min("doc_id").alias("doc"))
     met = staged(met.join(owner, "txt"), "suffix-met")
 
-    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "txt", "first", "n")
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "txt", "first", "n", "anchor_at")
     per_context = staged(met.groupBy("anchor", "context", "open").agg(
         F.sum("copies").alias("m"), F.min(place).alias("low")), "suffix-classes")
     open_ = per_context.filter("open").select("anchor", "context", "low.*")
