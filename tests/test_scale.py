@@ -1,10 +1,13 @@
 """Plans and operators that have to stay short when forms and rows are many."""
 
+import gzip
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cotejo.plans import derive
+from cotejo.sources import documents, responses
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +19,24 @@ def test_rows_of_a_form_meet_once(spark, make):
     assert len(re.findall(r"Exchange (?:hashpartitioning\(form_id|SinglePartition)", plan)) == 1
     nested = [line for line in plan.splitlines() if "collect_list" in line and ("vertices" in line or "polygon" in line)]
     assert not nested
+
+
+def test_packed_documents_read_back_and_stay_small(spark, tmp_path):
+    forms = derive.responses_b(spark, SF)
+    documents.write_documents(forms, str(tmp_path / "docs"))
+    files = documents.files_of(str(tmp_path / "docs"))
+    plain = forms.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    assert sum(size for _, size in files) * 4 < plain
+    assert len(documents.ranges(files, 100)) == len(files)
+    back = documents.read_documents(spark, str(tmp_path / "docs"), responses.RESPONSE_B, rangeBytes=100)
+    assert back.count() == forms.count() and back.filter("malformed IS NOT NULL").isEmpty()
+    assert back.drop("file", "start", "malformed").exceptAll(forms).isEmpty()
+
+
+def test_lines_of_a_packed_file_keep_their_place(tmp_path):
+    raw = b"one\r\n\r\ntwo\n" + "é".encode() * 2_000_000 + b"\nend"
+    (tmp_path / "a.gz").write_bytes(gzip.compress(raw))
+    got = [r for p in documents.ranges(documents.files_of(str(tmp_path)), 7) for b in documents.read_range(str(tmp_path), p)
+           for r in b.to_pylist()]
+    assert [r["line"] for r in got] == ["one", "two", "é" * 2_000_000, "end"]
+    assert all(raw[r["start"]:].startswith(r["line"].encode()) for r in got)
