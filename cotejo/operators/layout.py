@@ -263,6 +263,8 @@ def first_row_texts(rows: DataFrame, blocks: str = "blocks") -> DataFrame:
 
 # --- per-digit confidences ------------------------------------------------------------------------------------------
 BLOCK = 512
+#: Digits up to which a stream is joined whole to the identifiers of its form.
+LONG_STREAM = 4096
 
 
 def _stream_grams(stream: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -307,9 +309,18 @@ def map_digit_confidences(ids: DataFrame, streams: DataFrame, missing: float = 0
             F.aggregate(digit_symbols, F.lit(0.0), lambda acc, s: acc + s["confidence"]) / F.size(digit_symbols),
         ).otherwise(F.lit(0.0)).alias("mean"),
     )
+    stream = staged(stream, "digit-streams")
     wanted = ids.withColumn("target", tx.digits_only(F.col("id_number")))
-    mapped = wanted.join(stream.select("form_id", "mean"), "form_id", "left")
-    mapped = mapped.join(_stream_grams(stream, wanted), ["form_id", "target"], "left")
+    # Of a short stream every identifier of its form can look through all of it; the long ones are listed by digit strings.
+    short = F.length("digits") <= LONG_STREAM
+    mapped = wanted.join(stream.select("form_id", "mean", *[F.when(short, F.col(k)).alias(k) for k in ("digits", "confs")]),
+                         "form_id", "left")
+    at, long = F.instr(F.col("digits"), F.col("target")), F.length("target")
+    mapped = mapped.withColumn("hit", F.when((long > 0) & (at > 0), F.slice("confs", at, long))).drop("digits", "confs")
+    crowded = stream.filter(~short)
+    if not crowded.isEmpty():
+        grams = _stream_grams(crowded, wanted).withColumnRenamed("hit", "far")
+        mapped = mapped.join(grams, ["form_id", "target"], "left").withColumn("hit", F.coalesce("hit", "far")).drop("far")
     flat = F.array_repeat(F.coalesce("mean", F.lit(missing)), F.length("target"))
     return mapped.withColumns({"digit_conf": F.coalesce("hit", flat), "found": F.col("hit").isNotNull()}).drop(
         "mean", "hit", "target"

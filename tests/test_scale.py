@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cotejo.operators import layout
 from cotejo.plans import derive
 from cotejo.sources import documents, responses
 
@@ -40,3 +41,20 @@ def test_lines_of_a_packed_file_keep_their_place(tmp_path):
            for r in b.to_pylist()]
     assert [r["line"] for r in got] == ["one", "two", "é" * 2_000_000, "end"]
     assert all(raw[r["start"]:].startswith(r["line"].encode()) for r in got)
+
+
+def test_short_streams_are_looked_through_in_place(spark, monkeypatch):
+    symbols = "array<struct<text:string,confidence:double>>"
+    seen = {f: [("12", 0.5), ("a3", 0.25), ("123", 1.0)][: f + 1] for f in range(3)}
+    streams = spark.createDataFrame(list(seen.items()), f"form_id bigint, symbols {symbols}")
+    ids = spark.createDataFrame([(f, i) for f in range(4) for i in ("123", "2", "99", "")], "form_id bigint, id_number string")
+
+    def run():
+        return sorted(map(tuple, layout.map_digit_confidences(ids, streams).collect()))
+
+    short = run()
+    assert (2, "123", [0.5, 0.5, 0.25], True) in short and (3, "2", [0.85], False) in short and len(short) == 16
+    plan = layout.map_digit_confidences(ids, streams)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    monkeypatch.setattr(layout, "LONG_STREAM", 2)
+    assert run() == short
