@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.operators import layout
+from cotejo.operators import layout, voting
 from cotejo.plans import derive
 from cotejo.sources import documents, responses
 
@@ -58,3 +58,40 @@ def test_short_streams_are_looked_through_in_place(spark, monkeypatch):
     assert "Generate" not in plan
     monkeypatch.setattr(layout, "LONG_STREAM", 2)
     assert run() == short
+
+
+PAIR = "form_id int, a_id string, a_conf double, a_digits array<double>, b_id string, b_conf double, b_digits array<double>"
+
+
+def test_a_pair_votes_in_its_own_row(spark):
+    """The vote neither groups nor sorts digit rows, and decides as they do."""
+    rows = []
+    for k in range(400):
+        a = "".join(str((k * 7 + i * i) % 10) for i in range(k % 12))
+        b = a if k % 3 else a.translate(str.maketrans("175638", "716583"))
+        sides = [[(55 + (k * s + i * 13) % 45) / 100 for i in range(len(a) - (k % 41 == 0))] for s in (3, 11)]
+        rows.append((k, a, .8, sides[0], b, .9, sides[1]))
+    pairs = spark.createDataFrame(rows, PAIR)
+    combined, table = voting.combine_pairs(pairs, "form_id"), voting.comparison_table(pairs, "form_id")
+    for df in (combined, table):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Aggregate|Window|Sort|Exchange", plan)
+    digits: dict = {}
+    for d in voting.digit_votes(pairs.filter("a_id <> ''"), "form_id").filter("i IS NOT NULL").collect():
+        digits.setdefault(d.form_id, []).append(d)
+    outcomes = set()
+    for r in combined.collect():
+        own = sorted(digits.get(r.form_id, []), key=lambda d: d.i)
+        refused = not own or any(d.rejected for d in own)
+        assert r.outcome == ("fallback" if refused else "vote") and r.total_digits == len(own)
+        assert r.unanimous_count == sum(d.ad == d.bd for d in own) == len(own) - r.conflict_count
+        if not refused:
+            assert r.id_number == "".join(d.chosen for d in own)
+            assert r.confidence == pytest.approx(sum(d.conf for d in own) / len(own))
+        else:
+            assert (r.id_number, r.confidence) == (r.b_id, .9)
+        outcomes.add((r.outcome, r.a_id == r.b_id))
+    assert len(outcomes) == 4
+    kept = {k: v for k, v in digits.items() if not any(d.rejected for d in v)}
+    got = [(r.form_id, r.digit_pos, r.chosen, r.source, r.type) for r in table.collect()]
+    assert sorted(got) == sorted((d.form_id, d.i, d.chosen, d.source, d.type) for v in kept.values() for d in v)
