@@ -95,3 +95,12 @@ def test_a_pair_votes_in_its_own_row(spark):
     kept = {k: v for k, v in digits.items() if not any(d.rejected for d in v)}
     got = [(r.form_id, r.digit_pos, r.chosen, r.source, r.type) for r in table.collect()]
     assert sorted(got) == sorted((d.form_id, d.i, d.chosen, d.source, d.type) for v in kept.values() for d in v)
+
+
+def test_written_rows_are_dealt_by_count(spark, monkeypatch):
+    """Bytes would put too many rows into a task: they pack well and grow when digits are made of them."""
+    monkeypatch.setattr(derive, "ROWS_A_TASK", 500)
+    tasks = -(-derive.table(spark, SF, "lineitem").count() // 500)
+    for make in (derive.written_rows, derive.readings_a, derive.readings_b, derive.page_words):
+        plan = make(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"Exchange hashpartitioning\(form_id#\d+L?, (\d+)\)", plan) == [str(tasks)]
