@@ -168,6 +168,29 @@ def test_passages_equal_brute_force(spark, monkeypatch, keep_first, group, piece
     assert {(r.source, r.txt) for r in got} == {("s", 1), (None, 1)}
 
 
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_a_crowded_anchor_makes_few_rows(spark, monkeypatch, keep_first):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(260))
+    rows = [(i, "".join(rng.choice("ijklmnop") for _ in range(150)) + passage[:240 + i % 20] + "%05d" % i * 30, "s")
+            for i in range(120)]
+    strings = 120 * (240 - 120 + 1)
+    made, held = {}, suffix.staged
+
+    def counted(df, name):
+        out = held(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix, "GROUP", 20)
+    monkeypatch.setattr(suffix, "staged", counted)
+    found, by_place = [], suffix._by_place
+    monkeypatch.setattr(suffix, "_by_place", lambda *args: found.append(by_place(*args)) or found[0])
+    got = suffix.dedup_passages(spark.createDataFrame(rows, DOCS), 120, keep_first, keep_text=True).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_passages(rows, 120, keep_first)
+    assert max(sum(n) for n in made.values()) < strings / 3 and found[0].count() < strings / 3
+
+
 def test_passages_of_nothing_and_short_length(spark):
     empty = spark.createDataFrame([], DOCS)
     assert suffix.dedup_passages(empty).count() == 0
