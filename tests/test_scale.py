@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.operators import layout, voting
+from cotejo.operators import layout, matching, voting
 from cotejo.plans import derive
 from cotejo.sources import documents, responses
 
@@ -22,6 +22,17 @@ def test_rows_of_a_form_meet_once(spark, make):
     assert not nested
 
 
+def test_pairs_of_a_form_meet_in_its_own_row(spark):
+    """Identifiers and names are exchanged once by form, and nothing they hold is looked up again."""
+    box = "x double, y double, w double, h double, confidence double"
+    names = spark.createDataFrame([(1, 7, "ana", 0.0, 0.0, 5.0, 5.0, 0.9)], f"form_id bigint, cluster bigint, text string, {box}")
+    ids = spark.createDataFrame([(1, 3, "1234567", 20.0, 0.0, 5.0, 5.0, 0.8)], f"form_id bigint, ord bigint, text string, {box}")
+    got = matching.pair_by_proximity(names, ids)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"[a-z]Join", plan)) == 1 and len(re.findall(r"Exchange hashpartitioning", plan)) <= 2
+    assert [tuple(r) for r in got.collect()] == [(1, "ana", "1234567", 0.9, 0.8, 20, 0.0, 0.0, 20.0, 0.0)]
+
+
 def test_packed_documents_read_back_and_stay_small(spark, tmp_path):
     forms = derive.responses_b(spark, SF)
     documents.write_documents(forms, str(tmp_path / "docs"))
