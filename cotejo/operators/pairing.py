@@ -111,47 +111,65 @@ def resolve_repairs(weak: DataFrame, chunk: int = CHUNK, window: int = DEFAULT.r
     return entered.select("form_id", F.explode(folded["picks"]).alias("p")).select("form_id", "p.pos", "p.step")
 
 
-def find_repairs(a: DataFrame, b: DataFrame, p: VoteParams = DEFAULT, chunk: int = CHUNK) -> DataFrame:
-    """form_id, pos, b_pos, how for the positions whose positional partner is not similar enough.
-
-    Python sees only pairs whose common prefix or suffix does not already prove them similar. The weak positions are
-    few, so they are staged: every later step starts from that short table."""
-    ids = a.select("form_id", "pos", "a_id").join(b.select("form_id", "pos", "b_id"), ["form_id", "pos"])
-    unsure = ids.filter(~surely_similar(F.col("a_id"), F.col("b_id"), p.min_positional_ratio))
-    scored = unsure.withColumn("ratio", sequence_ratio(F.col("a_id"), F.col("b_id")))
-    weak = staged(scored.filter(F.col("ratio") < p.min_positional_ratio).select("form_id", "pos", "a_id"), "weak")
-
+def place_lists(a: DataFrame, b: DataFrame, p: VoteParams = DEFAULT) -> DataFrame:
+    """The two lists side by side as one staged table, a row for each form_id and pos that either has: their columns, ``in_a``,
+    ``in_b``, and ``unsure`` where both are there and no common prefix or suffix proves them similar. The wide rows are exchanged
+    here only; sure pairs and single readings are filters of this table."""
+    met = a.withColumn("in_a", F.lit(True)).join(b.withColumn("in_b", F.lit(True)), ["form_id", "pos"], "full_outer")
+    met = met.withColumns({"in_a": F.coalesce("in_a", F.lit(False)), "in_b": F.coalesce("in_b", F.lit(False))})
+    a_id, b_id = F.col("a_id"), F.col("b_id")
+    unsure = F.col("in_a") & F.col("in_b") & ~surely_similar(a_id, b_id, p.min_positional_ratio)
+    return staged(met.withColumn("unsure", unsure), "lists")
+
+
+def one_list(placed: DataFrame, side: str) -> DataFrame:
+    """The list of ``side`` out of :func:`place_lists`."""
+    return placed.filter(F.col(f"in_{side}")).select("form_id", "pos", *[c for c in placed.columns if c.startswith(f"{side}_")])
+
+
+def _repaired(weak: DataFrame, placed: DataFrame, p: VoteParams, chunk: int) -> DataFrame:
+    """The pairs of weak positions. They are few, so the B readings around them are staged with all they hold, and every later
+    step starts from short tables."""
+    a_columns, b_columns = ([c for c in placed.columns if c.startswith(f"{side}_")] for side in "ab")
+    weak = weak.select("form_id", "pos", *a_columns)
     window = F.explode(F.array(*[F.lit(k) for k in range(-p.repair_window, p.repair_window + 1)]))
     near = weak.select("form_id", "pos", "a_id", window.alias("step")).withColumn("b_pos", F.col("pos") + F.col("step"))
-    tried = near.join(b.select("form_id", F.col("pos").alias("b_pos"), "b_id"), ["form_id", "b_pos"])
-    tried = tried.withColumn("ratio", sequence_ratio(F.col("a_id"), F.col("b_id")))
+    tried = near.join(one_list(placed, "b").withColumnRenamed("pos", "b_pos"), ["form_id", "b_pos"])
+    tried = staged(tried.withColumn("ratio", sequence_ratio(F.col("a_id"), F.col("b_id"))).drop("a_id"), "tried")
     usable = F.when(F.col("ratio") > 0, F.struct((-F.col("ratio")).alias("r"), F.col("step").alias("step")))
     steps = tried.groupBy("form_id", "pos").agg(
         F.transform(F.sort_array(F.collect_list(usable)), lambda s: s["step"]).alias("steps")
     )
-    picks = resolve_repairs(staged(steps, "steps"), chunk, p.repair_window)
-    return picks.select(
-        "form_id", "pos", (F.col("pos") + F.coalesce("step", F.lit(0))).alias("b_pos"),
+    picks = resolve_repairs(staged(steps, "steps"), chunk, p.repair_window).select(
+        "form_id", "pos", F.coalesce("step", F.lit(0)).alias("step"),
         F.when(F.col("step").isNull(), "forced").otherwise("repaired").alias("how"),
     )
+    found = picks.join(tried.select("form_id", "pos", "step", "b_pos", *b_columns), ["form_id", "pos", "step"])
+    pairs = weak.join(found, ["form_id", "pos"]).select("form_id", "b_pos", "pos", *a_columns, "how", *b_columns)
+    return staged(pairs, "repairs")
+
+
+def pair_placed(placed: DataFrame, p: VoteParams = DEFAULT, chunk: int = CHUNK) -> DataFrame:
+    """:func:`pair_readings` of lists that :func:`place_lists` put side by side. Python sees the unsure pairs only."""
+    unsure = placed.filter("unsure").withColumn("ratio", sequence_ratio(F.col("a_id"), F.col("b_id")))
+    weak = F.coalesce(F.col("ratio") < p.min_positional_ratio, F.lit(False))
+    judged = staged(unsure.withColumn("weak", weak).drop("ratio"), "judged")
+    repaired = _repaired(judged.filter("weak"), placed, p, chunk)
+    sure = placed.filter(F.col("in_a") & F.col("in_b") & ~F.col("unsure")).unionByName(judged.filter(~F.col("weak")).drop("weak"))
+    return sure.withColumns({"b_pos": F.col("pos"), "how": F.lit("positional")}).select(repaired.columns).unionByName(repaired)
 
 
 def pair_readings(a: DataFrame, b: DataFrame, p: VoteParams = DEFAULT, chunk: int = CHUNK) -> DataFrame:
     """Pairs of A and B readings (form_id, pos, a_id/a_conf/a_digits, b_*): adds ``b_pos`` and ``how`` (positional,
     repaired, forced). A B reading may serve two pairs: positional and forced pairs do not check for earlier use."""
-    repairs = staged(find_repairs(a, b, p, chunk), "repairs")
-    both = a.join(b.select("form_id", "pos"), ["form_id", "pos"], "left_semi")
-    placed = both.join(repairs, ["form_id", "pos"], "left").withColumns(
-        {"b_pos": F.coalesce("b_pos", "pos"), "how": F.coalesce("how", F.lit("positional"))}
-    )
-    return placed.join(b.withColumnRenamed("pos", "b_pos"), ["form_id", "b_pos"])
+    return pair_placed(place_lists(a, b, p), p, chunk)
 
 
 def unpaired_remainder(a: DataFrame, b: DataFrame, pairs: DataFrame, p: VoteParams = DEFAULT) -> DataFrame:
     """Readings whose value is in no pair, for forms whose two lists differ by more than ``min_count_gap`` rows."""
     signed = a.select("form_id", F.lit(1).alias("s")).unionByName(b.select("form_id", F.lit(-1).alias("s")))
     uneven = signed.groupBy("form_id").agg(F.sum("s").alias("gap")).filter(F.abs("gap") > p.min_count_gap)
-    odd = uneven.select("form_id")
+    odd = staged(uneven.select("form_id"), "uneven")
 
     def rest(df: DataFrame, side: str, part: int) -> DataFrame:
         sure = df.filter(F.col(f"{side}_conf") * 100 >= p.min_digit_confidence * 100)

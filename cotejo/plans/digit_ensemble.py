@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cotejo.operators.pairing import pair_readings, unpaired_remainder
+from cotejo.operators.pairing import one_list, pair_placed, place_lists, unpaired_remainder
 from cotejo.operators.reconcile import dedupe_best, dense_position
 from cotejo.operators.voting import combine_pairs
 from cotejo.params import VoteParams
-from cotejo.plans.staging import staged
 
 
 def reading_list(detections: DataFrame, side: str) -> DataFrame:
@@ -24,12 +23,12 @@ def reading_list(detections: DataFrame, side: str) -> DataFrame:
 def reconcile(detections_a: DataFrame, detections_b: DataFrame, p: VoteParams = VoteParams()) -> DataFrame:
     """form_id, part, pos, outcome, id_number, confidence: combined pairs in form order (part 0), then the unpaired
     rest of A (1) and of B (2). A form read by one recogniser only, by at most ``min_count_gap`` rows, gives nothing."""
-    a, b = staged(reading_list(detections_a, "a"), "list-a"), staged(reading_list(detections_b, "b"), "list-b")
-    pairs = pair_readings(a, b, p)
+    placed = place_lists(reading_list(detections_a, "a"), reading_list(detections_b, "b"), p)
+    pairs = pair_placed(placed, p)
     combined = combine_pairs(pairs, "form_id", "pos", "b_pos", p=p).select(
         "form_id", F.lit(0).alias("part"), "pos", "outcome", "id_number", "confidence"
     )
-    return combined.unionByName(unpaired_remainder(a, b, pairs, p))
+    return combined.unionByName(unpaired_remainder(one_list(placed, "a"), one_list(placed, "b"), pairs, p))
 
 
 def reconcile_by_position(detections_a: DataFrame, detections_b: DataFrame, p: VoteParams = VoteParams()) -> DataFrame:

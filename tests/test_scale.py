@@ -6,8 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.operators import layout, matching, voting
-from cotejo.plans import derive
+from cotejo.operators import layout, matching, pairing, voting
+from cotejo.plans import derive, digit_ensemble
 from cotejo.sources import documents, responses
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +115,13 @@ def test_written_rows_are_dealt_by_count(spark, monkeypatch):
     for make in (derive.written_rows, derive.readings_a, derive.readings_b, derive.page_words):
         plan = make(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert re.findall(r"Exchange hashpartitioning\(form_id#\d+L?, (\d+)\)", plan) == [str(tasks)]
+
+
+def test_lists_are_made_and_exchanged_once(spark):
+    """Readings are de-duplicated and ranked in one pass, and pairs are read from the table where the lists met."""
+    raw = derive.detections_a(spark, SF)
+    assert "Union" not in raw._jdf.queryExecution().executedPlan().toString()
+    a, b = digit_ensemble.reading_list(raw, "a"), digit_ensemble.reading_list(derive.detections_b(spark, SF), "b")
+    for df in (a, b, pairing.pair_readings(a, b)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Aggregate|Window|Join|Exchange", plan)
