@@ -70,8 +70,9 @@ def g5_merge_names(spark, sf):
 
 
 def _id_lines(spark, sf):
-    words = staged(derive.page_words(spark, sf), "words")
-    return lay.locate_id_lines(derive.page_lines(words), words), words
+    rows = staged(derive.word_rows(spark, sf), "word-rows")
+    words = derive.row_words(rows)
+    return lay.locate_id_lines(derive.page_lines(rows), words), words
 
 
 def j8_locate_id_lines(spark, sf):

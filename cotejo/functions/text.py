@@ -32,7 +32,7 @@ BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 
 def digits_only(text: Column) -> Column:
     """Every digit of the line as one number, whatever interrupts it."""
-    return F.regexp_replace(text, "[^0-9]", "")
+    return F.regexp_replace(text, "[^0-9]+", "")
 
 
 def digit_runs(text: Column, shortest: int = 7, longest: int = 10) -> Column:
@@ -59,7 +59,7 @@ def fix_confusable_letters(text: Column) -> Column:
 
 def letter_ratio(text: Column) -> Column:
     """Share of letters and blanks; NULL for empty text."""
-    kept = F.length(F.regexp_replace(text, r"[^\p{L}\s]", ""))
+    kept = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", ""))
     return kept / F.nullif(F.length(text), F.lit(0))
 
 

@@ -5,6 +5,8 @@ themselves as equi-keys next to the form, and aggregates combine before they shu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cotejo.functions import geometry as geo, text as tx
@@ -127,16 +129,51 @@ def name_boxes(boxes: DataFrame, p: LayoutParams = DEFAULT) -> DataFrame:
 
 
 # --- same-row extraction ----------------------------------------------------------------------------------------------
+#: Words and lines up to which a form is looked through in its own row.
+FEW = 512
+
+
+def _parted(few: int, *tables: DataFrame) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """The tables' rows of forms with at most ``few`` rows in each table, and those of the crowded forms, if there are any."""
+    long = [t.groupBy("form_id").agg(F.count("*").alias("n")).filter(F.col("n") > few).select("form_id") for t in tables]
+    crowded = staged(reduce(DataFrame.unionByName, long).distinct(), "crowded")
+    if crowded.isEmpty():
+        return list(tables), None
+    return tuple([t.join(crowded, "form_id", how) for t in tables] for how in ("left_anti", "left_semi"))
+
+
 def locate_id_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
     """Lines with 7-11 digits, each with the position of the first word whose digits occur in them: form_id, line_no,
     id_number, x, y (the word's vertical centre). Lines without such a word are dropped.
 
-    "Occurs in" becomes an equi-join on digit strings: the words of a form are reduced to the first one per distinct
+    Lines and words of a form meet in one row; a crowded form's by digit strings, see :func:`_located_by_strings`."""
+    lines, words = lines.select("form_id", "line_no", "line"), words.select("form_id", "box_id", "text", "x", "y", "h")
+    calm, large = _parted(FEW, lines, words)
+    located = _located_in_place(*_id_digits(*calm))
+    return located if large is None else located.unionByName(_located_by_strings(*_id_digits(*large)))
+
+
+def _id_digits(lines: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The digits of lines that may hold an identifier, and of words that may be part of one."""
+    ids = lines.select("form_id", "line_no", tx.digits_only(F.col("line")).alias("id_number"))
+    words = words.withColumn("digits", tx.digits_only(F.col("text")))
+    return ids.filter(F.length("id_number").between(7, 11)), words.filter(F.length("digits").between(1, 11))
+
+
+def _located_in_place(ids: DataFrame, words: DataFrame) -> DataFrame:
+    middle = (F.col("y") + F.col("h") / 2).alias("y")
+    boxes = words.groupBy("form_id").agg(F.sort_array(F.collect_list(F.struct("box_id", "digits", "x", middle))).alias("boxes"))
+    lines = ids.groupBy("form_id").agg(F.collect_set(F.struct("line_no", "id_number")).alias("lines"))
+    rows = lines.join(boxes, "form_id").select("form_id", "boxes", F.explode("lines").alias("l"))
+    hits = F.filter("boxes", lambda b: F.contains(F.col("l.id_number"), b["digits"]))
+    found = rows.select("form_id", "l.*", F.explode(F.slice(hits, 1, 1)).alias("w"))
+    return found.select("form_id", "line_no", "id_number", "w.x", "w.y")
+
+
+def _located_by_strings(ids: DataFrame, words: DataFrame) -> DataFrame:
+    """"Occurs in" as an equi-join on digit strings: the words of a form are reduced to the first one per distinct
     string, and a line lists its substrings (66 at most) only for the lengths that the form's words have."""
-    digits = tx.digits_only(F.col("line"))
-    ids = lines.select("form_id", "line_no", digits.alias("id_number")).filter(F.length("id_number").between(7, 11))
-    first = words.withColumn("digits", tx.digits_only(F.col("text"))).filter(F.length("digits").between(1, 11))
-    first = first.groupBy("form_id", "digits").agg(
+    first = words.groupBy("form_id", "digits").agg(
         F.min_by(F.struct("box_id", "x", (F.col("y") + F.col("h") / 2).alias("y")), F.col("box_id")).alias("w")
     )
     lengths = first.groupBy("form_id").agg(F.collect_set(F.length("digits")).alias("lengths"))
@@ -158,9 +195,48 @@ def locate_id_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
 
 def same_row_names(ids: DataFrame, words: DataFrame, p: LayoutParams = DEFAULT) -> DataFrame:
     """Names left of each identifier on its row: words whose vertical centre lies within ``row_band`` of the id's y and
-    that start more than ``left_margin`` left of it. Names under four characters are dropped.
+    that start more than ``left_margin`` left of it. Names under four characters are dropped. ``ids`` are as
+    :func:`locate_id_lines` gives them, one row for each form_id, line_no and id_number.
+
+    An identifier looks through the names of its form in its own row; a crowded form's meet by strips."""
+    ids = ids.select("form_id", "line_no", "id_number", "x", "y")
+    calm, large = _parted(FEW, words.select("form_id", "box_id", "text", "x", "y", "h", "confidence"))
+    if large is None:
+        rows = _names_in_place(ids, *calm, p)
+    else:
+        crowded = large[0].select("form_id").distinct()
+        rows = _names_in_place(ids.join(crowded, "form_id", "left_anti"), *calm, p).unionByName(
+            _names_by_strips(ids.join(crowded, "form_id", "left_semi"), *large, p))
+    return rows.filter(F.length("name") >= 4)
+
+
+def _names_in_place(ids: DataFrame, words: DataFrame, p: LayoutParams) -> DataFrame:
+    middle = (F.col("y") + F.col("h") / 2).alias("cy")
+    named = words.filter(tx.looks_like_row_name(F.col("text"), p.letter_ratio)).groupBy("form_id").agg(
+        F.sort_array(F.collect_list(F.struct("x", "box_id", "text", middle, "confidence"))).alias("named"))
+    low, high, right = F.col("y") - p.row_band, F.col("y") + p.row_band, F.col("x") - p.left_margin
+    near = F.filter("named", lambda w: (w["cy"] >= low) & (w["cy"] <= high) & (w["x"] < right))
+
+    def row_name(hits: Column) -> Column:
+        name = tx.format_name_rowwise(F.array_join(hits["text"], " "))
+        return F.struct(name.alias("name"), _mean(hits["confidence"]).alias("name_conf"))
 
-    The band is an equi-key: strips of twice the band height, each id looking into the two strips its band meets."""
+    # A generator, so that the hits are looked for once and no filter is pushed into them.
+    names = F.transform(F.filter(F.array(near), lambda hits: F.size(hits) > 0), row_name)
+    return ids.join(named, "form_id").select("form_id", "line_no", "id_number", F.inline(names))
+
+
+def _mean(values: Column) -> Column:
+    """The mean of an array's values, NULLs left out."""
+    none = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    return F.aggregate(
+        values, none,
+        lambda acc, v: F.when(v.isNull(), acc).otherwise(F.struct((acc["total"] + v).alias("total"), (acc["n"] + 1).alias("n"))),
+        lambda acc: F.when(acc["n"] > 0, acc["total"] / acc["n"]))
+
+
+def _names_by_strips(ids: DataFrame, words: DataFrame, p: LayoutParams) -> DataFrame:
+    """The band as an equi-key: strips of twice the band height, each id looking into the two strips its band meets."""
     strip = 2 * p.row_band
     span = F.sequence(F.floor((F.col("y") - p.row_band) / strip), F.floor((F.col("y") + p.row_band) / strip))
     wanted = ids.select("form_id", "line_no", "id_number", F.col("x").alias("id_x"), F.col("y").alias("id_y"),
@@ -175,10 +251,9 @@ def same_row_names(ids: DataFrame, words: DataFrame, p: LayoutParams = DEFAULT)
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("x", "box_id", "word"))), lambda w: w["word"]), " "
     )
-    rows = hits.groupBy("form_id", "line_no", "id_number").agg(
+    return hits.groupBy("form_id", "line_no", "id_number").agg(
         tx.format_name_rowwise(text).alias("name"), F.avg("confidence").alias("name_conf")
     )
-    return rows.filter(F.length("name") >= 4)
 
 
 # --- form rows ----------------------------------------------------------------------------------------------------------

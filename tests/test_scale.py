@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cotejo.operators import layout, matching, pairing, voting
 from cotejo.plans import derive, digit_ensemble
+from cotejo.plans.staging import staged
 from cotejo.sources import documents, responses
 
 SF = "/root/testdata/sf0.001"
@@ -125,3 +126,28 @@ def test_lists_are_made_and_exchanged_once(spark):
     for df in (a, b, pairing.pair_readings(a, b)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Aggregate|Window|Join|Exchange", plan)
+
+
+def test_names_of_a_row_are_found_in_its_own_row(spark, monkeypatch):
+    """Lines, words and names of a form meet by form alone; crowded forms meet by digit strings and strips, with equal results."""
+    rows = staged(derive.word_rows(spark, SF), "word-rows")
+    box = "form_id bigint, box_id bigint, text string, x double, y double, h double, confidence double"
+    odd = [(-1, 1, "12", 400., 0., 10., .5), (-1, 2, "Ana", 0., 0., 10., None), (-1, 3, "34567", 500., 0., 10., .5),
+           (-1, 4, "Eva", 10., 2., 10., None), (-2, 1, "1234567", 400., 90., 10., .5), (-2, 2, "Ines", 0., 90., 10., None),
+           (-2, 3, "de", 5., 115., 10., .25), (-2, 4, "Luz", 7., 115.5, 10., .5)]
+    words = derive.row_words(rows).select(*box.replace(",", "").split()[::2]).unionByName(spark.createDataFrame(odd, box))
+    again = spark.createDataFrame([(-1, 0, "Ana 1234567"), (-1, 0, "Ana 1234567"), (-2, 0, "1234567"), (-3, 0, "1234567")],
+                                  "form_id bigint, line_no bigint, line string")
+    lines = derive.page_lines(rows).unionByName(again)
+
+    def run():
+        names = layout.same_row_names(layout.locate_id_lines(lines, words), words)
+        return names._jdf.queryExecution().executedPlan().toString(), sorted(
+            (tuple(r) for r in names.withColumn("name_conf", F.round("name_conf", 6)).collect()))
+
+    plan, got = run()
+    assert len(re.findall("Join", plan)) == 2 and not re.search("strip|Exchange hashpartitioning\\(form_id[^,]*, [a-z]", plan)
+    assert got[:2] == [(-2, 0, "1234567", "Ines de", .25), (-1, 0, "1234567", "Ana Eva", None)] and len(got) > 4000
+    for few in (1, 15):
+        monkeypatch.setattr(layout, "FEW", few)
+        assert run()[1] == got
