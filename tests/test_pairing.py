@@ -4,14 +4,16 @@ import difflib
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from cotejo.functions import sequences
 from cotejo.operators import graph, layout, matching, pairing
 from cotejo.operators.reconcile import dedupe_best, dense_position
 from cotejo.params import LayoutParams, VoteParams
-from cotejo.plans import digit_ensemble
+from cotejo.plans import digit_ensemble, staging
 
 LIST = "form_id bigint, pos bigint, {s}_id string, {s}_conf double, {s}_digits array<double>"
 
@@ -141,6 +143,28 @@ def test_long_lists_and_copies_equal_brute_force(spark):
     assert got == want
 
 
+def test_forms_with_few_pairs_are_matched_where_they_lie(spark):
+    rows = [(f, i, "Ana Ruiz", f"{f}{i}345") for f in range(30) for i in range(4)]
+    a, b = [spark.createDataFrame(rows, "form_id bigint, pos bigint, name string, id_number string").repartition(3, "form_id")
+            for _ in "ab"]
+    before = staging.written()
+    got = matching.match_pairs(a, b)
+    assert [p for p in staging.written() if p not in before and "-crowded-" not in p] == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.split("\n") if "Exchange" in x]) == 2
+    assert {(r["form_id"], r["pos"], r["b_pos"]) for r in got.collect()} == {(f, i, i) for f, i, *_ in rows}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("012ñ😀", max_size=70), min_size=1, max_size=4), st.lists(st.text("012é😀", max_size=70), min_size=1, max_size=4))
+def test_no_ratio_is_above_its_bound(a, b):
+    x, y = [v.ravel() for v in np.meshgrid(np.arange(len(a)), np.arange(len(b)))]
+    found = sequences.ratios([a[i] for i in x], [b[j] for j in y])
+    bounds = sequences.subsequence_bounds(a, b, x, y)
+    assert (found <= bounds).all() and (bounds <= 1).all()
+    assert all(v == 1 for i, j, v in zip(x, y, bounds) if a[i] == b[j])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("0123ab", max_size=14), st.text("0123ab", max_size=14), st.sampled_from([0.5, 0.625, 0.85, 0.96, -0.1]))
 def test_texts_of_the_ratio_share_a_signature(a, b, ratio):
