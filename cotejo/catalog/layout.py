@@ -178,8 +178,7 @@ def j6_pair_by_proximity(spark, sf):
 
 def _pair_lists(spark, sf):
     """Name-identifier pairs of both recognisers: B drops the last letter of some names."""
-    part = derive.table(spark, sf, "part").select(c("p_partkey").alias("part_id"), c("p_name").alias("name"))
-    a, b = [r.join(part, "part_id") for r in (derive.readings_a(spark, sf), derive.readings_b(spark, sf))]
+    a, b = [r.withColumnRenamed("p_name", "name") for r in derive.named_readings(spark, sf)]
     cut = F.when(c("seed") % 4 == 0, F.left("name", F.length("name") - 1)).otherwise(c("name"))
 
     def listed(df, seed):
