@@ -13,7 +13,9 @@ from cotejo.functions import sequences
 from cotejo.operators import graph, layout, matching, pairing
 from cotejo.operators.reconcile import dedupe_best, dense_position
 from cotejo.params import LayoutParams, VoteParams
-from cotejo.plans import digit_ensemble, staging
+from cotejo.plans import derive, digit_ensemble, staging
+from cotejo.plans.form_pairs import form_pairs
+from tests import oracle
 
 LIST = "form_id bigint, pos bigint, {s}_id string, {s}_conf double, {s}_digits array<double>"
 
@@ -243,6 +245,39 @@ def test_clusters_equal_transitive_closure(spark, unit):
     assert got == want
 
 
+def test_clusters_on_the_grid_and_in_rows_are_the_same(spark):
+    rng = random.Random(6)
+    rows = [(f, k, f"w{k}", float(rng.randrange(-900, 4000)), float(rng.randrange(0, 1500))) for f in range(8) for k in range(90)]
+    rows += [(9, 1, "alone", 5.0, 5.0), (9, 2, "nowhere", None, 5.0)]
+    df = spark.createDataFrame(rows, "form_id bigint, box_id int, text string, x double, y double")
+    found = [layout.cluster_words(df, few=few) for few in (0, 512)]
+    assert {f.name: f.dataType for f in found[0].schema} == {f.name: f.dataType for f in found[1].schema}
+    grid, in_rows = [sorted(d.select(*df.columns, "cluster").collect()) for d in found]
+    assert grid == in_rows and len(grid) == len(rows) - 1
+
+
+def test_short_forms_are_paired_where_they_lie(spark):
+    rng = random.Random(9)
+    texts = ["ana", "ruiz", "luis", "firma", "12345678", "1.234.567", "1234567 7654321", "12", None]
+    rows = [(f, k, rng.choice(texts), float(rng.randrange(0, 1500)), float(rng.randrange(0, 900)), 80.0, 20.0, rng.randrange(100) / 100)
+            for f in range(25) for k in range(rng.randrange(1, 25))]
+    schema = "form_id bigint, box_id bigint, text string, x double, y double, w double, h double, confidence double"
+    boxes = spark.createDataFrame(rows, schema).repartition(3, "form_id")
+    before = staging.written()
+    short = form_pairs(boxes)
+    assert [p for p in staging.written() if p not in before and "-crowded-" not in p] == []
+    got, want = [sorted(map(tuple, d.withColumn("name_conf", F.round("name_conf", 9)).collect()))
+                 for d in (short, form_pairs(boxes, few=0))]
+    assert got == want and len(got) > 25
+
+
+def test_words_are_the_same_one_by_one_and_by_rows(spark):
+    sf = f"{oracle.DATA}/sf0.001"
+    one, by_row = [sorted(map(tuple, d.collect())) for d in (
+        derive.page_words(spark, sf, 90, 40), derive.row_words(derive.word_rows(spark, sf, 90, 40)))]
+    assert one == by_row
+
+
 def test_components_of_chains_and_rings(spark):
     chain = [(1, i, i + 1) for i in range(100)]
     ring = [(2, i, (i + 7) % 50) for i in range(50)]
