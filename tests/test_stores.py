@@ -6,15 +6,18 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cotejo.operators import constraints, metadata, metering, quality
 from cotejo.operators.reconcile import dedupe_best
+from cotejo.plans import derive
 from cotejo.sources import documents, responses, sinks
 from cotejo.sources.snapshots import BucketedTable
 from cotejo.streaming import best, jobs
 from cotejo.streaming.counters import CounterStore
+from tests import oracle
 
 
 # --- response files -----------------------------------------------------------------------------------------------------
@@ -53,6 +56,40 @@ def test_malformed_documents_are_kept_apart(spark, tmp_path):
     assert documents.read_documents(spark, str(tmp_path / "empty"), responses.RESPONSE_B).count() == 0
 
 
+def test_responses_hold_the_words_of_their_rows(spark):
+    """A's documents are built by array operations, none of them for each symbol in an expression."""
+    sf = f"{oracle.DATA}/sf0.001"
+    docs = derive.responses_a(spark, sf)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+    words = {}
+    for w in derive.page_words(spark, sf).orderBy("form_id", "box_id").collect():
+        words.setdefault(w.form_id, []).append(w)
+    got = {r.form_id: r.pages for r in docs.collect()}
+    assert got.keys() == words.keys() and {len(p) for p in got.values()} == {1}
+    for form, [page] in got.items():
+        pairs = [(block, q) for block in page.blocks for q in block.paragraphs]
+        assert len(pairs) == len(words[form]) and all(len(q.words) == 1 for _, q in pairs)
+        assert len(page.blocks) == len({w.pos for w in words[form]})
+        for w, (block, q) in zip(words[form], pairs):
+            box = [(w.x, w.y), (w.x + w.w, w.y), (w.x + w.w, w.y + w.h), (w.x, w.y + w.h)]
+            top = w.pos * 36.0
+            outline = [(100.0, top), (700.0, top), (700.0, top + 20), (100.0, top + 20)]
+            assert [tuple(v) for v in block.vertices] == ([] if w.seed % 23 == 0 else outline)
+            assert [tuple(v) for v in q.vertices] == box
+            assert [tuple(v) for v in q.words[0].vertices] == (box[:3] if w.seed % 19 == 0 else box)
+            assert q.words[0].confidence == (None if w.seed % 17 == 0 and w.k == 0 else w.confidence)
+            assert [tuple(s) for s in q.words[0].symbols] == [
+                (c, None if (w.seed + i) % 5 == 0 else (60 + (w.seed + i) % 40) / 100) for i, c in enumerate(w.text)]
+
+
+def test_symbols_of_any_letters():
+    texts = ["añb", "", None, "😀1", "x" * 90]
+    got = derive._symbols(pa.array(texts), np.arange(5)).to_pylist()
+    assert [s if s is None else "".join(v["text"] for v in s) for s in got] == texts
+    assert [v["confidence"] for v in got[3]] == [0.63, 0.64] and got[0][0]["confidence"] is None
+
+
 def test_documents_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1").write_text('{"form_id": 1}\n{"form_id": 2}\n')
