@@ -1,6 +1,7 @@
 """Response files, bucketed snapshots, counters by batch, streams with state, metadata and table rules."""
 
 import datetime as dt
+import gzip
 import json
 import os
 import random
@@ -90,6 +91,14 @@ def test_symbols_of_any_letters():
     assert [v["confidence"] for v in got[3]] == [0.63, 0.64] and got[0][0]["confidence"] is None
 
 
+def test_files_are_packed_at_the_chosen_level(spark, tmp_path):
+    lines = [f'{{"form_id": {i}, "text": "{i * 7919 % 104729} words of {i % 13}"}}' for i in range(3000)]
+    documents.write_lines(spark.createDataFrame([(v,) for v in lines], "line string").coalesce(1), str(tmp_path / "out"))
+    [(name, size)] = documents.files_of(str(tmp_path / "out"))
+    raw = gzip.decompress((tmp_path / "out" / name).read_bytes())
+    assert raw.decode().splitlines() == lines and size > len(gzip.compress(raw, 6))
+
+
 def test_documents_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1").write_text('{"form_id": 1}\n{"form_id": 2}\n')
